@@ -1 +1,29 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns documents; the last one, packed pieces."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerframe.llm.common import checkpoint
+from ledgerframe.llm.substring_dedup import remove_repeated_passages
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    checkpoint(spark.range(0))  # sees to the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in repeated passages go from the text. Texts without any stay as they are."""
+    found = remove_repeated_passages(docs, with_text=True, carry=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
