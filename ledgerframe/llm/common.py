@@ -26,9 +26,9 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text), null text as empty."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text), null text as empty; and the columns named in ``carry``, as _name."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

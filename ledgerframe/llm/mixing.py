@@ -46,45 +46,59 @@ def _ends(sums: DataFrame, bucket: str, budget: str) -> DataFrame:
     return upto.where((F.col("prev") <= F.col(budget)) & (F.col("upto") > F.col(budget)))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, one row for each row of docs; and the columns named in ``carry``.
+#: Sources up to which their table, a row each, is broadcast. Beyond, joins shuffle.
+FEW = 100_000
 
-    Words of null or empty texts: 0, and nothing taken. A null source is a source. Rows with the same doc_id in a source
-    share its fate. An empty table gives no rows."""
+
+def _rows(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long")
-    own = [F.col(c).alias(f"_{c}") for c in carry]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), word_count(text).alias("size"), h.alias("h"), *own)
-    rows = rows if carry else checkpoint(rows)  # small without texts; counted once
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), word_count(text).alias("size"), h.alias("h"), *(F.col(c).alias(f"_{c}") for c in carry))
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], most: float) -> tuple[DataFrame, bool]:
+    """Of each source its size and target, how often all of it is taken, and the last hash and the one above that are taken
+    once more; whether there are few sources."""
     sizes = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes.select("source", "source_size"), weights, most)
     plan = plan.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source")
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("times", times.cast("long")).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
     plan = checkpoint(plan)  # a row a source
+    few = plan.count() <= FEW
+    some = F.broadcast if few else (lambda df: df)
 
     level = lambda shift: F.shiftright("h", shift)
-    one = rows.groupBy("key", level(48 - BITS).alias("b1")).agg(F.sum("size").alias("words")).join(plan.select("key", "rest"), "key")
+    one = rows.groupBy("key", level(48 - BITS).alias("b1")).agg(F.sum("size").alias("words")).join(some(plan.select("key", "rest")), "key")
     one = _ends(one, "b1", "rest").select("key", "b1", (F.col("rest") - F.col("prev")).alias("rest"))
-    two = rows.select("key", "size", "h", level(48 - BITS).alias("b1")).join(one, ["key", "b1"])
+    two = rows.select("key", "size", "h", level(48 - BITS).alias("b1")).join(some(one), ["key", "b1"])
     two = two.groupBy("key", level(48 - 2 * BITS).alias("b2")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     two = _ends(two, "b2", "rest").select("key", "b2", (F.col("rest") - F.col("prev")).alias("rest"))
-    three = rows.select("key", "size", "h", level(48 - 2 * BITS).alias("b2")).join(two, ["key", "b2"])
+    three = rows.select("key", "size", "h", level(48 - 2 * BITS).alias("b2")).join(some(two), ["key", "b2"])
     three = three.groupBy("key", "h").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     nearer = F.col("upto") - F.col("rest") <= F.col("rest") - F.col("prev")
     gap = F.when(nearer, F.lit(0.0)).otherwise(F.col("rest") - F.col("prev"))
     three = _ends(three, "h", "rest").select("key", F.when(nearer, F.col("h")).otherwise(F.col("h") - 1).alias("last"), gap.alias("gap"))
     # a document that lies across the threshold may be large: the one that fits the gap best comes in its place
     off = F.abs(F.col("words") - F.col("gap"))
-    fill = rows.select("key", "h", "size").join(three.where("gap > 0"), "key").where((F.col("h") > F.col("last")) & (F.col("size") < 2 * F.col("gap")) & (F.col("size") > 0))
+    fill = rows.select("key", "h", "size").join(some(three.where("gap > 0")), "key").where((F.col("h") > F.col("last")) & (F.col("size") < 2 * F.col("gap")) & (F.col("size") > 0))
     fill = fill.groupBy("key", "h").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).where(off < F.col("gap"))
     fill = fill.groupBy("key").agg(F.min(F.struct(off.alias("off"), "h")).alias("fit")).select("key", F.col("fit.h").alias("fill"))
-    plan = plan.join(three.drop("gap"), "key", "left").join(fill, "key", "left")
-    plan = plan.select("key", "source_size", "target", "times", F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("fill", F.lit(-1)).alias("fill"))
+    plan = plan.join(some(three.drop("gap")), "key", "left").join(some(fill), "key", "left")
+    return plan.select("key", "source_size", "target", "times", F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("fill", F.lit(-1)).alias("fill")), few
 
-    taken = F.col("size") * (F.col("times") + ((F.col("h") <= F.col("last")) | (F.col("h") == F.col("fill"))).cast("long"))
-    return rows.join(plan, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(F.col(f"_{c}").alias(c) for c in carry))
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, one row for each row of docs; and the columns named in ``carry``.
+
+    Words of null or empty texts: 0, and nothing taken. A null source is a source. Rows with the same doc_id in a source
+    share its fate. An empty table gives no rows."""
+    rows = checkpoint(_rows(docs))  # small without texts; counted once
+    plan, few = _plan(rows, weights, most)
+    copies = F.col("times") + ((F.col("h") <= F.col("last")) | (F.col("h") == F.col("fill"))).cast("long")
+    mixed = (_rows(docs, carry) if carry else rows).join(F.broadcast(plan) if few else plan, "key").withColumn("copies", copies)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(F.col(f"_{c}").alias(c) for c in carry))
 
 
 ORACLE = r"""
@@ -111,7 +125,8 @@ n AS (SELECT r.source, r.h, sum(r.size) AS words, any_value(e.gap) AS gap FROM r
       WHERE r.h > e.last AND r.size > 0 AND r.size < 2 * e.gap GROUP BY r.source, r.h),
 f AS (SELECT source, arg_min(h, (abs(words - gap), h)) AS fill FROM n WHERE abs(words - gap) < gap GROUP BY source)
 SELECT r.doc_id, r.size, q.source_size, q.target,
-       (r.size * (q.times + CASE WHEN r.h <= coalesce(e.last, -1) OR r.h = f.fill THEN 1 ELSE 0 END))::BIGINT AS taken
+       (r.size * (q.times + CASE WHEN r.h <= coalesce(e.last, -1) OR r.h = f.fill THEN 1 ELSE 0 END))::BIGINT AS taken,
+       (q.times + CASE WHEN r.h <= coalesce(e.last, -1) OR r.h = f.fill THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source
      LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source
 """

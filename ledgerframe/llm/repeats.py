@@ -192,17 +192,19 @@ def _told(t: pa.Table) -> tuple[np.ndarray, bytes]:
 
 def _load(t: pa.Table, words: bool) -> tuple[int, Text]:
     """Rows in an order that doesn't depend on how they came."""
-    rows = sorted(zip(t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = sorted(zip(t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), range(t.num_rows), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     chunk = int(t.column("chunk")[0].as_py()) if t.num_rows else 0
-    return chunk, Text(np.array([r[0] for r in rows], object), [r[1] for r in rows], words)
+    text = Text(np.array([r[0] for r in rows], object), [r[1] for r in rows], words)
+    text.table = t.take(pa.array([r[2] for r in rows], pa.int64()))
+    return chunk, text
 
 
-def repeats(docs: DataFrame, length: int, phrase: int, words: bool, finish: Callable[[Text, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """finish(text, starts) gets each chunk with the units at which a repeated window starts, and makes its result."""
+def repeats(docs: DataFrame, length: int, phrase: int, words: bool, finish: Callable[[Text, np.ndarray], pa.Table], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """finish(text, starts) gets each chunk with the units at which a repeated window starts, and makes its result. The
+    columns named in ``carry`` are in text.table, a row a document, as _name."""
     chunks = parts(docs, CHUNK_BYTES)
     buckets = max(1, chunks // 4)
-    t = texts(docs)
-    t = t.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    t = texts(docs, carry=carry).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def first(table: pa.Table) -> pa.Table:
         chunk, text = _load(table, words)

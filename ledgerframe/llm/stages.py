@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import checkpoint
-from ledgerframe.llm.substring_dedup import remove_repeated_passages
+from ledgerframe.llm import quality
+from ledgerframe.llm.common import checkpoint, tokenizer_file
+from ledgerframe.llm.minhash import near_duplicates
+from ledgerframe.llm.mixing import mix_sources
+from ledgerframe.llm.packing import pack
+from ledgerframe.llm.substring_dedup import without_repeated_passages
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+OTHERS = ("text", "lang", "source", "n_chars")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -22,8 +26,34 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go. The texts are written once beside their counts, which are needed twice."""
+    found = written(quality.metrics(docs, OTHERS))
+    kept = quality.judged(found, quality.references(found)).where("kept")
+    return kept.select("doc_id", *(F.col(f"_own_{c}").alias(c) for c in OTHERS))
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the document with the least id stays, once. Documents without an id stay."""
+    docs = docs.select("doc_id", *OTHERS)
+    gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    twice = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.limit(1).count():
+        left = left.join(twice, "doc_id", "left_anti").union(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in repeated passages go from the text. Texts without any stay as they are."""
-    found = remove_repeated_passages(docs, with_text=True, carry=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    """Words of repeated passages go from the texts."""
+    return without_repeated_passages(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes."""
+    mixed = mix_sources(docs, carry=OTHERS).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", *OTHERS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_file("word_bpe_49k.json"))

@@ -54,21 +54,30 @@ def _kept(text: Text, k: int, a: int, b: int, gone: np.ndarray) -> bytes:
     return b" ".join([text.buffer[s:e] for s, e in zip(text.starts[a:b][~gone].tolist(), text.ends[a:b][~gone].tolist(), strict=True)])
 
 
-def remove_repeated_passages(docs: DataFrame, length: int = 35, phrase: int = 8, with_text: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256, and the kept text if asked for.
+def remove_repeated_passages(docs: DataFrame, length: int = 35, phrase: int = 8) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256.
 
     Documents of fewer than ``length`` words, empty and null ones keep all; of repeated rows all copies lose what
     repeats."""
 
     def finish(text: Text, starts: np.ndarray) -> pa.Table:
         gone = _gone(text, starts, length)
-        rows = []
-        for k, doc, a, b in documents(text):
-            g = gone[a:b]
-            kept = _kept(text, k, a, b, g)
-            rows.append((doc, b - a, int(g.sum()), hashlib.sha256(kept).hexdigest(), *((kept.decode(),) if with_text else ())))
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-        cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(),) * 3 + (pa.string(),) * 2, strict=False)], names=names)
-
-    return repeats(docs, length, phrase, True, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+        rows = [(doc, b - a, int(gone[a:b].sum()), hashlib.sha256(_kept(text, k, a, b, gone[a:b])).hexdigest()) for k, doc, a, b in documents(text)]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(),) * 3 + (pa.string(),), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return repeats(docs, length, phrase, True, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeated_passages(docs: DataFrame, length: int = 35, phrase: int = 8) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) with the words of repeated passages taken out of the texts. Texts that lose
+    words are joined by single blanks, others stay as they are; null texts come back empty."""
+
+    def finish(text: Text, starts: np.ndarray) -> pa.Table:
+        gone = _gone(text, starts, length)
+        old = text.table.column("text").to_pylist()
+        new = [_kept(text, k, a, b, gone[a:b]).decode() if gone[a:b].any() else old[k] for k, _, a, b in documents(text)]
+        ids = pa.array(text.ids.tolist(), pa.int64())
+        return pa.table([ids, pa.array(new, pa.string()), text.table.column("_lang"), text.table.column("_source"), pa.array(map(len, new), pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
+
+    return repeats(docs, length, phrase, True, finish, "doc_id long, text string, lang string, source string, n_chars long", carry=("lang", "source"))
