@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerframe.operators.numbering import numbered
+
 
 def judge(proposals: DataFrame, heads: DataFrame) -> DataFrame:
     """Proposals (stream_id, expect_version, must_not_exist, ...) against the streams' tips: adds actual_version, accepted and
@@ -17,18 +19,10 @@ def judge(proposals: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def assign(batch: DataFrame, heads: DataFrame, order: str, base: int) -> DataFrame:
-    """Adds stream_version (from each stream's tip on) and global_position (from base + 1 on, in the order of ``order``).
-
-    Positions without one task that sorts everything: rows are ranged by ``order``, counted by partition, and numbered within
-    each from what the earlier ones hold. The counts are a row a partition."""
+    """Adds stream_version (from each stream's tip on) and global_position (from base + 1 on, in the order of ``order``)."""
     w = Window.partitionBy("stream_id").orderBy(order)
     v = batch.join(heads.select("stream_id", "tip"), "stream_id", "left").withColumn("stream_version", F.coalesce("tip", F.lit(0)) + F.row_number().over(w)).drop("tip")
-    n = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = v.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return ranged.withColumn("_number", number).join(before, "_part").withColumn("global_position", F.lit(base) + F.col("_before") + F.col("_number")).drop("_part", "_before", "_number")
+    return numbered(v, order, "_number").withColumn("global_position", F.lit(base) + F.col("_number")).drop("_number")
 
 
 def retained(log: DataFrame, tombstones: DataFrame) -> DataFrame:

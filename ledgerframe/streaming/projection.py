@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerframe.operators.numbering import numbered
+
 
 def totals(log: DataFrame) -> DataFrame:
     return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.max("global_position").alias("position"))
 
 
-def numbered(positions: DataFrame) -> DataFrame:
-    """Adds handled, the number of each event in the order of positions: ranged, counted by range, numbered within."""
-    n = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = positions.repartitionByRange(n, "global_position").withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_part").orderBy("global_position"))
-    return ranged.withColumn("_number", number).join(before, "_part").withColumn("handled", F.col("_before") + F.col("_number")).drop("_part", "_number", "_before")
-
-
 def batches(positions: DataFrame, size: int) -> DataFrame:
     """(batch, first_position, last_position, n): what each read of a drain yields. At head is where a read yields less than
     asked; so when the last is full, an empty one follows."""
     b = F.ceil(F.col("handled") / size).cast("long").alias("batch")
-    full = numbered(positions).groupBy(b).agg(F.min("global_position").alias("first_position"), F.max("global_position").alias("last_position"), F.count(F.lit(1)).alias("n"))
+    full = numbered(positions, "global_position", "handled").groupBy(b).agg(F.min("global_position").alias("first_position"), F.max("global_position").alias("last_position"), F.count(F.lit(1)).alias("n"))
     total = positions.agg(F.count(F.lit(1)).alias("t")).where(F.col("t") % size == 0)
     none = F.lit(None).cast("long")
     return full.unionByName(total.select(F.floor(F.col("t") / size + 1).cast("long").alias("batch"), none.alias("first_position"), none.alias("last_position"), F.lit(0).cast("long").alias("n")))
@@ -32,7 +24,7 @@ def batches(positions: DataFrame, size: int) -> DataFrame:
 
 def saves(positions: DataFrame, cadence: int) -> DataFrame:
     """(handled, position) of each checkpoint: every ``cadence`` events, and at the head."""
-    n = numbered(positions)
+    n = numbered(positions, "global_position", "handled")
     head = positions.agg(F.max("global_position").alias("_head"))
     kept = n.where(F.col("handled") % cadence == 0)
     last = n.join(F.broadcast(head), n.global_position == head["_head"], "left_semi")  # one row
