@@ -10,6 +10,7 @@ third of all pieces have isn't numbered in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -25,29 +26,72 @@ from ledgerframe.llm.repeats import Text
 CAPACITY, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Bytes of text that are tokenized at once, and words whose ids a worker remembers.
-BATCH_BYTES, REMEMBER = 2_000_000, 300_000
+BATCH_BYTES, REMEMBER = 2_000_000, 500_000
 #: Hash buckets in which the pieces of one length are numbered.
 BUCKETS = 256
 
-_loaded: dict = {}
+#: A word that is letters whose lower case is plain, and then marks: the tokenizer takes it apart just there.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
+_loaded: dict[str, Words] = {}
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+
+class Words:
+    """Ids of words, as bytes. Normalizing takes a tokenizer longer than merging does: plain words are brought to their normal
+    form here and merged together in one call, in which a token that ends a word tells where the next begins."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[path] = (t, {})
-    return _loaded[path]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = Tokenizer.from_file(path)
+        self.merge.encode_special_tokens = True
+        self.merge.normalizer, self.merge.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.full.get_vocab_size() + 1, bool)
+        for token, k in self.full.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.words: dict[bytes, bytes] = {}
+        self.forms: dict[str, bytes] = {}
+
+    def _form(self, part: str) -> str:
+        return part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+
+    def learn(self, words: list[bytes]) -> None:
+        plain, odd = [], []
+        for w in words:
+            text = w.decode()
+            m = PLAIN.fullmatch(text)
+            if m:
+                plain.append((w, [self._form(m[1].lower()), *([m[2]] if m[2] else [])]))
+            else:
+                odd.append((w, text))
+        new = list({f for _, forms in plain for f in forms} - self.forms.keys())
+        if len(self.forms) + len(new) > REMEMBER:
+            self.forms.clear()
+            new = list({f for _, forms in plain for f in forms})
+        if new:
+            ids = np.array(self.merge.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(new) or last[-1] != len(ids):
+                raise ValueError("the tokenizer doesn't mark the ends of words")
+            raw, last = ids.tobytes(), (4 * last).tolist()
+            self.forms.update(zip(new, (raw[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)), strict=True))
+        for w, forms in plain:
+            self.words[w] = b"".join([self.forms[f] for f in forms])
+        for (w, _), e in zip(odd, self.full.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, np.uint32).tobytes()
 
 
 def encode(raw: list[bytes], path: str) -> list[np.ndarray]:
     """Ids of each text (UTF-8), END last. White space only separates for this tokenizer: words are encoded once each."""
-    tokenizer, known = _tokenizer(path)
+    known = (_loaded.get(path) or _loaded.setdefault(path, Words(path))).words
     text = Text(np.arange(len(raw)), raw, True)
     n = len(text.starts)
     at = np.arange(n)
@@ -57,10 +101,10 @@ def encode(raw: list[bytes], path: str) -> list[np.ndarray]:
     if len(known) + len(new) > REMEMBER:
         known.clear()
         new = words
-    known.update(zip(new, (np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+    _loaded[path].learn(new)
     ids = [known[w] for w in words]
-    size = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.uint32)
     begin = np.cumsum(size) - size
     each = size[inverse] if n else np.zeros(0, np.int64)
     upto = np.concatenate([[0], np.cumsum(each)])
