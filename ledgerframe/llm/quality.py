@@ -143,4 +143,42 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """A row for each row of docs. Null and empty texts have no words and fail; repeated rows are judged alike; without
     any document that passes the base rules there are no references, and the base rules decide."""
     found = checkpoint(metrics(docs))  # counts only
-    return judged(found, references(found)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language", "char_distance", "word_distance")
+    near = (F.round(c, 6).alias(c) for c in ("char_distance", "word_distance"))
+    return judged(found, references(found)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language", *near)
+
+
+def _oracle() -> str:
+    """The same in DuckDB's SQL."""
+    ws = r"[^\x20\x09-\x0D]"
+    count = lambda chars, of="t": f"length(regexp_replace({of}, '[^{chars}]', '', 'g'))"
+    words = {lang: "[" + ", ".join(f"len(list_filter(ws, lambda x: x = '{w}'))" for w in group) + "]" for lang, group in COMMON.items()}
+    common = " ".join(f"WHEN '{lang}' THEN {x}" for lang, x in words.items())
+    marks = MARKS.replace("'", "''").replace("\\", "", 1)
+
+    def distance(p: str, q: str, n: int) -> str:
+        part = lambda v, i: f"CASE WHEN {v}[{i}] > 0 THEN {v}[{i}] * ln({v}[{i}] / (({p}[{i}] + {q}[{i}]) / 2)) ELSE 0 END"
+        total = " + ".join(f"({part(p, i)} + {part(q, i)})" for i in range(1, n + 1))
+        return f"sqrt(greatest(({total}) / (2 * ln(2)), 0))"
+
+    n_w = len(next(iter(COMMON.values()))) + 1
+    return rf"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{ws}+') AS ws FROM documents),
+tri AS (SELECT r, i, ws[i:i + 2] AS k FROM b, unnest(range(1, len(ws) - 1)) u(i)),
+rep AS (SELECT r, k FROM tri GROUP BY r, k HAVING count(*) > 1),
+cov AS (SELECT r, count(DISTINCT i + d) AS n FROM tri JOIN rep USING (r, k), unnest(range(0, 3)) u(d) GROUP BY r),
+c AS (SELECT b.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {count(SYMBOLS)} AS n_symbols, coalesce(cov.n, 0) AS n_repeat_words,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{ws}')) AS ls,
+      [{count("a-z")}, {count("A-Z")}, length(regexp_replace(regexp_replace(t, '[a-zA-Z]', '', 'g'), '[^\p{{L}}\p{{M}}]', '', 'g')), {count("0-9")}, {count(marks)}, {count(SYMBOLS)}] AS h FROM b LEFT JOIN cov USING (r)),
+m AS (SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+      list_transform(list_append(h, word_chars - list_sum(h)::BIGINT), lambda x: x / word_chars) AS p FROM c),
+o AS (SELECT *, list_transform(list_append(f, n_words - list_sum(f)::BIGINT), lambda x: x / n_words) AS q FROM (SELECT *, CASE lang {common} END AS f FROM m WHERE NOT base_failed AND word_chars > 0 AND lang IN ({", ".join(f"'{x}'" for x in COMMON)}))),
+refs AS (SELECT lang, [{", ".join(f"avg(p[{i}])" for i in range(1, len(CLASSES) + 1))}] AS rp, [{", ".join(f"avg(q[{i}])" for i in range(1, n_w + 1))}] AS rq FROM o GROUP BY lang),
+own AS (SELECT *, list_transform(list_append(f, n_words - list_sum(f)::BIGINT), lambda x: x / n_words) AS q FROM (SELECT m.*, refs.lang AS l, rp, rq, CASE refs.lang {common} END AS f FROM m, refs)),
+d AS (SELECT *, CASE WHEN word_chars >= {MIN_CHARS} THEN {distance("p", "rp", len(CLASSES))} END AS cd, CASE WHEN n_words >= {MIN_WORDS} THEN {distance("q", "rq", n_w)} END AS wd FROM own),
+best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY r ORDER BY coalesce(cd, 0) + coalesce(wd, 0), l) = 1)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(cd, 0) <= {MOST_CHARS} AND coalesce(wd, 0) <= {MOST_WORDS} AS kept, l AS language, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM best
+"""
+
+
+ORACLE = _oracle()

@@ -81,3 +81,13 @@ def without_repeated_passages(docs: DataFrame, length: int = 35, phrase: int = 8
         return pa.table([ids, pa.array(new, pa.string()), text.table.column("_lang"), text.table.column("_source"), pa.array(map(len, new), pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
 
     return repeats(docs, length, phrase, True, finish, "doc_id long, text string, lang string, source string, n_chars long", carry=("lang", "source"))
+
+
+ORACLE = r"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM b, unnest(range(1, len(ws) - 33)) u(i)),
+cov AS (SELECT DISTINCT r, i + d AS p FROM win JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k), unnest(range(0, 35)) u(d)),
+n AS (SELECT r, count(*) AS n FROM cov GROUP BY r),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM b) x WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.r = x.r AND cov.p = x.p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM b LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
