@@ -6,8 +6,8 @@
 3. Each text gets BANDS * ROWS samples: two texts have the same one with the probability of their weighted Jaccard
    similarity. Texts that agree in all samples of a band meet in a bucket.
 4. In a bucket every text is compared with one leader, the one that most texts meet, never with all. The similarity of a
-   candidate pair is computed in full. Texts that a bucket's leader doesn't hold look for a leader among themselves, in
-   rounds, until no bucket has two left.
+   candidate pair is computed in full. Texts that a bucket's leader doesn't hold look for a leader among themselves, and
+   are compared with the next NEXT of the bucket, in rounds, until no bucket has two left.
 5. Classes are the connected components of the verified pairs.
 
 A bucket of any size costs as many pairs as it has texts. Hot buckets are counted before the shuffle and joined by
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import checkpoint, texts
@@ -32,6 +32,7 @@ from ledgerframe.llm.repeats import Text
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 TABLE, SLICES = 1 << 20, 16
+NEXT = 8
 SEED = 0x6C62272E07BB0142
 
 _random = np.random.default_rng(SEED & 0xFFFFFFFF)
@@ -213,19 +214,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = met.join(popular, "rep").select("band", "key", "rep", "pop")
     ids = popular.select(F.col("rep").alias("doc_id"))
     known = checkpoint(t.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    left, links, tried = checkpoint(met), None, None
+    left, tried, first = checkpoint(met), None, True
+    order = Window.partitionBy("band", "key").orderBy(F.col("pop").desc(), "rep")
     while True:
         lead = left.groupBy("band", "key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("minus"))).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        lead = lead.select("band", "key", (-F.col("lead.minus")).alias("lead"))
+        lead = lead.select("band", "key", "n", (-F.col("lead.minus")).alias("lead"))
         led = left.join(lead, ["band", "key"]).where("rep <> lead")
-        pairs = led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        pairs = led.select("rep", F.col("lead").alias("other"))
+        if not first:  # what a leader doesn't hold is little, and mostly alone: the next few of a bucket are compared as well
+            near = left.select("rep", F.array(*(F.lead("rep", i).over(order) for i in range(1, NEXT + 1))).alias("others"))
+            near = near.select("rep", F.explode("others").alias("other")).where("other is not null")
+            pairs = pairs.union(near)
+        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         new = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done = checkpoint(_verified(new.select(F.col("a"), F.col("b")), known, idf, threshold))
+        done = checkpoint(_verified(new, known, idf, threshold))
         tried = done if tried is None else checkpoint(tried.union(done))
         links = tried.where("ok").select("a", "b")
-        # who isn't held by the leader looks for another among those in the same case
+        # who isn't held by the leader looks for another among those in the same case; a bucket of NEXT + 1 is through
         held = led.join(links, (F.least("rep", "lead") == F.col("a")) & (F.greatest("rep", "lead") == F.col("b")), "left")
-        left = checkpoint(held.where("a is null").select("band", "key", "rep", "pop"))
+        left = checkpoint(held.where(F.col("a").isNull() & (F.lit(first) | (F.col("n") > NEXT + 1))).select("band", "key", "rep", "pop"))
+        first = False
         if not left.groupBy("band", "key").count().where("count > 1").limit(1).count():
             break
     classes = components(equal.select(F.col("rep").alias("id")), links)
