@@ -162,9 +162,14 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, content binary, bands array<long>")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """Sides of joins here grow with the corpus. They meet by shuffle: none goes through the driver as a broadcast."""
+    return df.hint("merge")
+
+
 def _verified(pairs: DataFrame, known: DataFrame, idf, threshold: float) -> DataFrame:
     """(a, b, ok) of pairs; known has the text of each."""
-    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(_shuffled(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))), "a").join(_shuffled(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))), "b")
 
     def check(batches):
         for t in batches:
@@ -185,10 +190,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(nodes.select("id", F.col("id").alias("class")))
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("class").alias("near"))
-        spread = labels.join(near, labels.id == near.a, "left").select("id", F.col("class").alias("old"), F.least("class", F.coalesce("near", "class")).alias("class"))
+        near = both.join(_shuffled(labels), both.b == labels.id).groupBy("a").agg(F.min("class").alias("near"))
+        spread = labels.join(_shuffled(near), labels.id == near.a, "left").select("id", F.col("class").alias("old"), F.least("class", F.coalesce("near", "class")).alias("class"))
         to = labels.select(F.col("id").alias("class"), F.col("class").alias("root"))
-        jumped = spread.join(to, "class", "left").select("id", "old", F.least("class", F.coalesce("root", "class")).alias("class"))
+        jumped = spread.join(_shuffled(to), "class", "left").select("id", "old", F.least("class", F.coalesce("root", "class")).alias("class"))
         jumped = checkpoint(jumped)
         changed = jumped.where("old <> class").limit(1).count()
         labels = jumped.select("id", "class")
@@ -209,35 +214,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     equal = checkpoint(equal)
     at = equal.select("rep", F.posexplode("bands").alias("band", "key"))
     many = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = checkpoint(at.join(many, ["band", "key"]))  # texts that meet others, in each bucket
+    met = checkpoint(at.join(_shuffled(many), ["band", "key"]))  # texts that meet others, in each bucket
     popular = met.groupBy("rep").agg(F.sum("n").alias("pop"))
-    met = met.join(popular, "rep").select("band", "key", "rep", "pop")
+    met = met.join(_shuffled(popular), "rep").select("band", "key", "rep", "pop")
     ids = popular.select(F.col("rep").alias("doc_id"))
-    known = checkpoint(t.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    known = checkpoint(t.join(_shuffled(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     left, tried, first = checkpoint(met), None, True
     order = Window.partitionBy("band", "key").orderBy(F.col("pop").desc(), "rep")
     while True:
         lead = left.groupBy("band", "key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("minus"))).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
         lead = lead.select("band", "key", "n", (-F.col("lead.minus")).alias("lead"))
-        led = left.join(lead, ["band", "key"]).where("rep <> lead")
+        led = left.join(_shuffled(lead), ["band", "key"]).where("rep <> lead")
         pairs = led.select("rep", F.col("lead").alias("other"))
         if not first:  # what a leader doesn't hold is little, and mostly alone: the next few of a bucket are compared as well
             near = left.select("rep", F.array(*(F.lead("rep", i).over(order) for i in range(1, NEXT + 1))).alias("others"))
             near = near.select("rep", F.explode("others").alias("other")).where("other is not null")
             pairs = pairs.union(near)
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        new = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        new = pairs if tried is None else pairs.join(_shuffled(tried.select("a", "b")), ["a", "b"], "left_anti")
         done = checkpoint(_verified(new, known, idf, threshold))
         tried = done if tried is None else checkpoint(tried.union(done))
         links = tried.where("ok").select("a", "b")
         # who isn't held by the leader looks for another among those in the same case; a bucket of NEXT + 1 is through
-        held = led.join(links, (F.least("rep", "lead") == F.col("a")) & (F.greatest("rep", "lead") == F.col("b")), "left")
+        held = led.join(_shuffled(links), (F.least("rep", "lead") == F.col("a")) & (F.greatest("rep", "lead") == F.col("b")), "left")
         left = checkpoint(held.where(F.col("a").isNull() & (F.lit(first) | (F.col("n") > NEXT + 1))).select("band", "key", "rep", "pop"))
         first = False
         if not left.groupBy("band", "key").count().where("count > 1").limit(1).count():
             break
     classes = components(equal.select(F.col("rep").alias("id")), links)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    roots = equal.join(classes, equal.rep == classes.id).join(degree, "id", "left").select("content", F.col("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("doc_id", "content").join(roots, "content", "left")
+    roots = equal.join(_shuffled(classes), equal.rep == classes.id).join(_shuffled(degree), "id", "left").select("content", F.col("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = signed.select("doc_id", "content").join(_shuffled(roots), "content", "left")
     return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -18,6 +18,8 @@ from ledgerframe.llm.common import parts
 
 #: Vectors in a block of queries, and of candidates about.
 QUERIES, CANDIDATES = 2048, 4096
+#: Blocks of queries that are broadcast at most.
+FEW = 4
 
 
 def quantized(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -110,7 +112,9 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     n_x = parts(embeddings, CANDIDATES * 256, int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4 + 1)
     q = _packed(queries, F.pmod(F.xxhash64("vec_id"), F.lit(n_q)), "q")
     x = _packed(vectors, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_x)), "x")
-    met = x.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>"))).join(q, "q")
+    met = x.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")))
+    # a few blocks of queries are of bounded size and go to the candidates; more meet them by shuffle, dealt anew after it
+    met = met.join(F.broadcast(q), "q") if n_q <= FEW else met.join(q, "q").repartition("x", "q")
 
     def search(batches):
         for t in batches:
