@@ -6,33 +6,34 @@
 3. Each text gets BANDS * ROWS samples: two texts have the same one with the probability of their weighted Jaccard
    similarity. Texts that agree in all samples of a band meet in a bucket.
 4. In a bucket every text is compared with one leader, the one that most texts meet, never with all. The similarity of a
-   candidate pair is computed in full. Texts that a bucket's leader doesn't hold look for a leader among themselves, and
-   are compared with the next NEXT of the bucket, in rounds, until no bucket has two left.
+   candidate pair is computed in full. Texts that the leader doesn't hold, few as a rule, are then compared with the whole
+   bucket, in blocks of bounded size inside a task; of a text's links to those that the leader holds one is kept, and of
+   those among the rest a spanning forest. So no link that joins two parts of a bucket is lost, and no bucket emits its pairs.
 5. Classes are the connected components of the verified pairs.
 
-A bucket of any size costs as many pairs as it has texts. Hot buckets are counted before the shuffle and joined by
-sort-merge, whose skewed partitions the engine splits.
+A bucket of any size costs as many pairs as it has texts, and a block for each BLOCK bytes of it and of what its leader
+doesn't hold. Buckets are counted before the shuffle and joined by sort-merge, whose skewed partitions the engine splits.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import checkpoint, texts
+from ledgerframe.llm.common import WS, checkpoint, texts
 from ledgerframe.llm.repeats import Text
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 TABLE, SLICES = 1 << 20, 16
-NEXT = 8
+#: Bytes of text on each side of a block, with ROW more for each text; shingles that are sampled at once.
+BLOCK, ROW, AT_ONCE = 2_000_000, 2_000, 4096
 SEED = 0x6C62272E07BB0142
 
 _random = np.random.default_rng(SEED & 0xFFFFFFFF)
@@ -100,14 +101,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def bands(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Keys of the bands. Of each sample the shingle with the least ln a = ln c - r (t - beta + 1) is taken, with its t,
     where t = floor(ln w / r + beta)."""
-    h = s[:, None] * _ODD
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    r, ln_c, beta = R[(h >> np.uint64(48)).astype(np.int64)], LN_C[(h >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64)], BETA[(h >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)]
-    t = np.floor(np.log(w)[:, None] / r + beta)
-    best = np.argmin(ln_c - r * (t - beta + 1), axis=0)
     k = np.arange(BANDS * ROWS)
-    key = (h[best, k] ^ (t[best, k].astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))).reshape(BANDS, ROWS)
+    least, key = np.full(len(k), np.inf), np.zeros(len(k), np.uint64)
+    for i in range(0, len(s), AT_ONCE):
+        h = s[i : i + AT_ONCE, None] * _ODD
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        r, ln_c, beta = R[(h >> np.uint64(48)).astype(np.int64)], LN_C[(h >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64)], BETA[(h >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)]
+        t = np.floor(np.log(w[i : i + AT_ONCE])[:, None] / r + beta)
+        ln_a = ln_c - r * (t - beta + 1)
+        best = np.argmin(ln_a, axis=0)
+        new = h[best, k] ^ (t[best, k].astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        key, least = np.where(ln_a[best, k] < least, new, key), np.minimum(least, ln_a[best, k])
+    key = key.reshape(BANDS, ROWS)
     out = np.zeros(BANDS, np.uint64)
     for i in range(ROWS):
         out = (out ^ key[:, i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -148,18 +154,22 @@ def inverse(df: np.ndarray) -> np.ndarray:
     return (1 + np.log(np.maximum(n, 1) / np.clip(df[:-1], 1, n)) / np.log(n)).astype(np.float32)
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, content, bands): the digest of the words (null without any), and the keys of the bands."""
+def content() -> Column:
+    """The digest of the words of a text; null without any."""
+    words = F.trim(F.regexp_replace("text", f"[{WS}]+", " "))
+    return F.when(words != "", F.unhex(F.md5(words)))
+
+
+def signatures(named: DataFrame, idf) -> DataFrame:
+    """(doc_id, content, size, bands): size in bytes, and the keys of the bands."""
 
     def sign(batches):
         for b in batches:
-            content, keys, raw = [], [], b.column("text").cast(pa.binary()).to_pylist()
-            for t, (x, w) in zip(raw, weights(raw, idf.value), strict=True):
-                content.append(hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if len(x) else None)
-                keys.append(bands(x, w).tolist() if len(x) else [])
-            yield pa.record_batch([b.column("doc_id"), pa.array(content, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "bands"])
+            raw = b.column("text").cast(pa.binary()).to_pylist()
+            keys = [bands(x, w).tolist() if len(x) else [] for x, w in weights(raw, idf.value)]
+            yield pa.record_batch([b.column("doc_id"), b.column("content"), pa.array(map(len, raw), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "size", "bands"])
 
-    return docs.mapInArrow(sign, "doc_id long, content binary, bands array<long>")
+    return named.mapInArrow(sign, "doc_id long, content binary, size long, bands array<long>")
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -168,8 +178,8 @@ def _shuffled(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, known: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, ok) of pairs; known has the text of each."""
-    both = pairs.join(_shuffled(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))), "a").join(_shuffled(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))), "b")
+    """(a, b) of those pairs that are as similar as that; known has the text of each."""
+    both = pairs.join(_shuffled(known.select(F.col("node").alias("a"), F.col("text").alias("text_a"))), "a").join(_shuffled(known.select(F.col("node").alias("b"), F.col("text").alias("text_b"))), "b")
 
     def check(batches):
         for t in batches:
@@ -179,70 +189,108 @@ def _verified(pairs: DataFrame, known: DataFrame, idf, threshold: float) -> Data
                 part = {*xs[k : k + 200], *ys[k : k + 200]}
                 seen = dict(zip(part, weights(list(part), idf.value), strict=True))
                 ok += [similarity(seen[x], seen[y]) >= threshold for x, y in zip(xs[k : k + 200], ys[k : k + 200], strict=True)]
-            yield pa.record_batch([t.column("a"), t.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, ok boolean")
+            yield pa.record_batch([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
+
+
+def _links(nodes: list[bytes], asks: np.ndarray, member: np.ndarray, loose: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Of a block: links of those that ask with members, without those that close a ring. Members that aren't loose are
+    linked already, by their leader."""
+    start = np.concatenate([[0], np.cumsum([len(s) for s, _ in found])])
+    vocabulary, at = np.unique(np.concatenate([s for s, _ in found]), return_inverse=True)
+    w = np.concatenate([x for _, x in found]).astype(np.float64)
+    total, own = np.add.reduceat(w, start[:-1]), np.zeros(len(vocabulary))
+    root, out = list(range(len(nodes))), []
+    held = np.flatnonzero(~loose)
+    for j in held:
+        root[j] = int(held[0])
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i in np.flatnonzero(asks):
+        part = slice(start[i], start[i + 1])
+        own[at[part]] = w[part]
+        common = np.add.reduceat(np.minimum(own[at], w), start[:-1])
+        own[at[part]] = 0
+        for j in np.flatnonzero(member & (common >= threshold * (total[i] + total - common))):
+            x, y = top(int(i)), top(int(j))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((nodes[i], nodes[j]))
+    return out
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, class): the least id of each node's connected component. Labels spread to neighbours and then jump to the label
-    of their label, until nothing changes; each round is checkpointed."""
+def _blocks(led: DataFrame, known: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): links of texts that a bucket's leader doesn't hold, with all others of the bucket. led has band, key, node,
+    size and loose (not held) of all but the leaders."""
+    weight = F.col("size") + F.lit(ROW)
+    sums = led.groupBy("band", "key").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("loose"), weight)).alias("some"), F.count(F.lit(1)).alias("n")).where("some is not null and n > 1")
+    count = lambda c: F.ceil(F.col(c) / F.lit(BLOCK))
+    sides = led.join(_shuffled(sums.select("band", "key", count("all").alias("rows"), count("some").alias("cols"))), ["band", "key"])
+    own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asking = sides.where("loose").select("band", "key", "node", "loose", F.lit(False).alias("member"), own("cols", 1).alias("col"), upto("rows").alias("row"))
+    asked = sides.select("band", "key", "node", "loose", F.lit(True).alias("member"), own("rows", 2).alias("row"), upto("cols").alias("col"))
+    rows = asking.unionByName(asked).join(_shuffled(known), "node")
+
+    def compare(t: pa.Table) -> pa.Table:
+        of: dict[bytes, list] = {}  # a text may be on both sides
+        for node, loose, member, text in zip(*(t.column(c).to_pylist() for c in ("node", "loose", "member")), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            row = of.setdefault(node, [False, False, loose, text])
+            row[member] = True
+        nodes = sorted(of)
+        asks, member, loose = (np.array([of[x][k] for x in nodes], bool) for k in range(3))
+        out = _links(nodes, asks, member, loose, list(weights([of[x][3] for x in nodes], idf.value)), threshold) if asks.any() else []
+        return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "b"])
+
+    return rows.groupBy("band", "key", "row", "col").applyInArrow(compare, "a binary, b binary")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, class): the least node of the connected component, of each node that has a link. Labels spread to neighbours and
+    then jump to the label of their label, until nothing changes; each round is checkpointed."""
     both = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(nodes.select("id", F.col("id").alias("class")))
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("class")))
     while True:
-        near = both.join(_shuffled(labels), both.b == labels.id).groupBy("a").agg(F.min("class").alias("near"))
-        spread = labels.join(_shuffled(near), labels.id == near.a, "left").select("id", F.col("class").alias("old"), F.least("class", F.coalesce("near", "class")).alias("class"))
-        to = labels.select(F.col("id").alias("class"), F.col("class").alias("root"))
-        jumped = spread.join(_shuffled(to), "class", "left").select("id", "old", F.least("class", F.coalesce("root", "class")).alias("class"))
-        jumped = checkpoint(jumped)
-        changed = jumped.where("old <> class").limit(1).count()
-        labels = jumped.select("id", "class")
-        if not changed:
+        near = both.join(_shuffled(labels), both.b == labels.node).groupBy("a").agg(F.min("class").alias("near"))
+        spread = labels.join(_shuffled(near), labels.node == near.a).select("node", F.col("class").alias("old"), F.least("class", "near").alias("class"))
+        to = labels.select(F.col("node").alias("class"), F.col("class").alias("root"))
+        jumped = checkpoint(spread.join(_shuffled(to), "class").select("node", "old", F.least("class", "root").alias("class")))
+        labels = jumped.select("node", "class")
+        if not jumped.where("old <> class").limit(1).count():
             return labels
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), links (verified pairs of the document's text) for each row of docs.
+    """doc_id, class_id (the least doc_id of the class) for each row of docs.
 
-    Documents without words, null or empty, are classes of their own. Rows that repeat a doc_id share a class; such ids
-    should be unique, as pairs are named by them. Rows with a null doc_id have a null class. Ties go to the lesser id."""
+    Documents without words, null or empty, are classes of their own. Each row has the class of its own text, also if its
+    doc_id is repeated or null; a class that has null ids only is null."""
     spark = docs.sparkSession
-    t = texts(docs)
+    named = texts(docs).withColumn("content", content())
     idf = spark.sparkContext.broadcast(inverse(document_frequencies(docs)))
-    signed = checkpoint(signatures(t, idf))
-    equal = signed.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    equal = checkpoint(equal)
-    at = equal.select("rep", F.posexplode("bands").alias("band", "key"))
+    signed = checkpoint(signatures(named, idf))
+    equal = checkpoint(signed.where("content is not null").groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    at = equal.select("node", "size", F.posexplode("bands").alias("band", "key"))
     many = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = checkpoint(at.join(_shuffled(many), ["band", "key"]))  # texts that meet others, in each bucket
-    popular = met.groupBy("rep").agg(F.sum("n").alias("pop"))
-    met = met.join(_shuffled(popular), "rep").select("band", "key", "rep", "pop")
-    ids = popular.select(F.col("rep").alias("doc_id"))
-    known = checkpoint(t.join(_shuffled(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    left, tried, first = checkpoint(met), None, True
-    order = Window.partitionBy("band", "key").orderBy(F.col("pop").desc(), "rep")
-    while True:
-        lead = left.groupBy("band", "key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("minus"))).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        lead = lead.select("band", "key", "n", (-F.col("lead.minus")).alias("lead"))
-        led = left.join(_shuffled(lead), ["band", "key"]).where("rep <> lead")
-        pairs = led.select("rep", F.col("lead").alias("other"))
-        if not first:  # what a leader doesn't hold is little, and mostly alone: the next few of a bucket are compared as well
-            near = left.select("rep", F.array(*(F.lead("rep", i).over(order) for i in range(1, NEXT + 1))).alias("others"))
-            near = near.select("rep", F.explode("others").alias("other")).where("other is not null")
-            pairs = pairs.union(near)
-        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        new = pairs if tried is None else pairs.join(_shuffled(tried.select("a", "b")), ["a", "b"], "left_anti")
-        done = checkpoint(_verified(new, known, idf, threshold))
-        tried = done if tried is None else checkpoint(tried.union(done))
-        links = tried.where("ok").select("a", "b")
-        # who isn't held by the leader looks for another among those in the same case; a bucket of NEXT + 1 is through
-        held = led.join(_shuffled(links), (F.least("rep", "lead") == F.col("a")) & (F.greatest("rep", "lead") == F.col("b")), "left")
-        left = checkpoint(held.where(F.col("a").isNull() & (F.lit(first) | (F.col("n") > NEXT + 1))).select("band", "key", "rep", "pop"))
-        first = False
-        if not left.groupBy("band", "key").count().where("count > 1").limit(1).count():
-            break
-    classes = components(equal.select(F.col("rep").alias("id")), links)
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    roots = equal.join(_shuffled(classes), equal.rep == classes.id).join(_shuffled(degree), "id", "left").select("content", F.col("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("doc_id", "content").join(_shuffled(roots), "content", "left")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    popular = checkpoint(met.groupBy("node").agg(F.sum("n").alias("pop")))
+    known = named.where("content is not null").groupBy(F.col("content").alias("node")).agg(F.first("text").alias("text"))  # copies go before the shuffle
+    known = checkpoint(known.join(_shuffled(popular.select("node")), "node", "left_semi"))
+    ranked = met.join(_shuffled(popular), "node")
+    lead = ranked.groupBy("band", "key").agg(F.max(F.struct("pop", "node")).alias("lead")).select("band", "key", F.col("lead.node").alias("lead"))
+    led = checkpoint(met.join(_shuffled(lead), ["band", "key"]).where("node <> lead").select("band", "key", "node", "size", "lead"))
+    star = checkpoint(_verified(led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), known, idf, threshold))
+    held = led.join(_shuffled(star), (F.least("node", "lead") == star.a) & (F.greatest("node", "lead") == star.b), "left")
+    loose = checkpoint(held.select("band", "key", "node", "size", F.col("a").isNull().alias("loose")))
+    links = checkpoint(star.union(_blocks(loose, known, idf, threshold)))
+    classes = components(links)
+    roots = equal.join(_shuffled(classes), "node", "left").select("node", "least", F.coalesce("class", "node").alias("class"))
+    least = roots.groupBy("class").agg(F.min("least").alias("class_id"))
+    of = roots.join(_shuffled(least), "class").select(F.col("node").alias("content"), "class_id")
+    out = signed.select("doc_id", "content").join(_shuffled(of), "content", "left")
+    return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
