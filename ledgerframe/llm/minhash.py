@@ -269,17 +269,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) for each row of docs.
 
     Documents without words, null or empty, are classes of their own. Each row has the class of its own text, also if its
-    doc_id is repeated or null; a class that has null ids only is null."""
+    doc_id is repeated. Rows with a null doc_id have a null class and join no others. An empty table gives no rows."""
     spark = docs.sparkSession
     named = texts(docs).withColumn("content", content())
     idf = spark.sparkContext.broadcast(inverse(document_frequencies(docs)))
     signed = checkpoint(signatures(named, idf))
-    equal = checkpoint(signed.where("content is not null").groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    equal = checkpoint(signed.where("content is not null and doc_id is not null").groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     at = equal.select("node", "size", F.posexplode("bands").alias("band", "key"))
     many = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = checkpoint(at.join(_shuffled(many), ["band", "key"]))  # texts that meet others, in each bucket
     popular = checkpoint(met.groupBy("node").agg(F.sum("n").alias("pop")))
-    known = named.where("content is not null").groupBy(F.col("content").alias("node")).agg(F.first("text").alias("text"))  # copies go before the shuffle
+    known = named.where("content is not null and doc_id is not null").groupBy(F.col("content").alias("node")).agg(F.first("text").alias("text"))  # copies go before the shuffle
     known = checkpoint(known.join(_shuffled(popular.select("node")), "node", "left_semi"))
     ranked = met.join(_shuffled(popular), "node")
     lead = ranked.groupBy("band", "key").agg(F.max(F.struct("pop", "node")).alias("lead")).select("band", "key", F.col("lead.node").alias("lead"))
@@ -293,4 +293,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = roots.groupBy("class").agg(F.min("least").alias("class_id"))
     of = roots.join(_shuffled(least), "class").select(F.col("node").alias("content"), "class_id")
     out = signed.select("doc_id", "content").join(_shuffled(of), "content", "left")
-    return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

@@ -111,6 +111,54 @@ def test_near_duplicates(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_blocks_of_any_size_find_the_same_classes(spark, make, monkeypatch):
+    """Families whose members drift apart, so that a leader doesn't hold them all: classes are those of all pairs."""
+    rng, rows = np.random.default_rng(5), []
+    for family in range(12):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for step in range(14):
+            rows.append((100 * family + step, " ".join(words)))
+            words[int(rng.integers(0, 120))] = f"e{family}x{step}"
+    docs = make(*rows, (5000, rows[3][1] + " "), (5001, rows[3][1]))
+    whole = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(minhash, "BLOCK", 9_000)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == whole
+    assert {c for _, c in whole} == {100 * f for f in range(12)}
+    assert (5001, 0) in whole and (5000, 0) in whole
+
+
+def test_links_of_a_block():
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(60)]
+    raw = []
+    for k in range(40):
+        words = list(base) if k % 2 else [f"v{w}" for w in base]
+        for i in rng.integers(0, 60, int(rng.integers(0, 5))):
+            words[i] = f"x{k}"
+        raw.append(" ".join(words).encode())
+    found = list(minhash.weights(raw, np.ones(1 << 20, np.float32)))
+    asks, member = rng.random(40) < 0.5, rng.random(40) < 0.8
+    loose = asks | (rng.random(40) < 0.2)
+    nodes = [bytes([k]) for k in range(40)]
+    links = {(a[0], b[0]) for a, b in minhash._links(nodes, asks, member, loose, found, 0.8)}
+    true = {(i, j) for i in np.flatnonzero(asks) for j in np.flatnonzero(member) if i != j and minhash.similarity(found[i], found[j]) >= 0.8}
+    assert links <= true
+
+    def parts(pairs):
+        root = list(range(41))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in [*pairs, *((k, 40) for k in range(40) if not loose[k])]:  # their leader joins those that it holds
+            root[top(i)] = top(j)
+        return {frozenset(k for k in range(41) if top(k) == r) for r in range(41)}
+
+    assert parts(links) == parts(true)
+
+
 def test_samples_agree_as_often_as_the_weights_say():
     rng = np.random.default_rng(1)
     one = np.ones(1 << 20, np.float32)
