@@ -5,8 +5,10 @@ path; tokens with the same vector of occurrences over the group's distinct pages
 are frequent, large and ordered alike in every page are valid, and nest: the class that occurs once a page is the
 template's skeleton, others lie in its slots. What text the template doesn't hold is in slots, and the skeleton's
 deepest element that holds most of it is the main slot. Extraction keeps that slot's text, without nested menus, forms,
-adverts, notices and comments. An article or main element of a page's own names its main slot outright, so that a page
-alone on its host, or copies of one page, lose nothing to the template.
+adverts, notices and comments. An article or main element of a page's own names its main slot outright; the template's
+own text blocks go from it as well, where the group shows them: at least four distinct articles, of which most keep most of
+their text. So a page alone on its host, or copies of one page, lose nothing to the template. All slots inside an
+article are kept: the title's is one, the body's another.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
+from collections.abc import Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,11 +132,12 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
     return blocks, opened
 
 
-def template(pages: list[tuple[list[tuple[str, bool, bool, str]], list[str]]]) -> tuple[str, set[tuple[str, str]]]:
-    """The main slot's path and the template's own text blocks, from the valid equivalence classes of distinct pages."""
-    distinct = list({tuple(b[3] for b in blocks): (blocks, opened) for blocks, opened in pages}.values())
+def template(pages: list[tuple[list[tuple[str, bool, bool, str]], list[str]]]) -> tuple[str, set[tuple[str, str]], bool]:
+    """The main slot's path and the template's own text blocks, from the valid equivalence classes of distinct pages; and
+    whether those blocks go from articles as well. Pages with the same article are one page, whatever is around it."""
+    distinct = list({_article(blocks) or tuple(b[3] for b in blocks): (blocks, opened) for blocks, opened in pages}.values())
     if len(distinct) < 4:
-        return "", set()
+        return "", set(), False
     vectors: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0] * len(distinct))
     where: list[dict[tuple[str, str], int]] = []
     for k, (blocks, opened) in enumerate(distinct):
@@ -166,11 +170,18 @@ def template(pages: list[tuple[list[tuple[str, bool, bool, str]], list[str]]]) -
                 for i in range(2, len(parts) + 1):
                     mass["/".join(parts[:i])] += len(text)
     good = [p for p, n in mass.items() if p in skeleton and 2 * n >= total]
-    return max(good, key=lambda p: (p.count("/"), mass[p], p), default=""), fixed
+    articles = [blocks for blocks, _ in distinct if _article(blocks)]
+    poorer = sum(2 * sum(map(len, _article(blocks, fixed))) < sum(map(len, _article(blocks))) for blocks in articles)
+    return max(good, key=lambda p: (p.count("/"), mass[p], p), default=""), fixed, len(articles) >= 4 and 2 * poorer <= len(articles)
 
 
-def main_text(blocks: list[tuple[str, bool, bool, str]], slot: str, fixed: set[tuple[str, str]]) -> str:
-    named = [b[3] for b in blocks if b[2] and not b[1]]
+def _article(blocks: list[tuple[str, bool, bool, str]], fixed: Set[tuple[str, str]] = frozenset()) -> tuple[str, ...]:
+    """Texts inside an article or main element, without the template's."""
+    return tuple(b[3] for b in blocks if b[2] and not b[1] and (b[0], b[3]) not in fixed)
+
+
+def main_text(blocks: list[tuple[str, bool, bool, str]], slot: str, fixed: set[tuple[str, str]], within: bool) -> str:
+    named = within and _article(blocks, fixed) or _article(blocks)
     if named:
         return " ".join(named)
     kept = [b for b in blocks if not b[1] and (b[0], b[3]) not in fixed]
@@ -190,8 +201,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         parsed = [parse(x) for x in t.column("html").to_pylist()]
-        slot, fixed = template(parsed)
-        out = [main_text(blocks, slot, fixed) for blocks, _ in parsed]
+        slot, fixed, within = template(parsed)
+        out = [main_text(blocks, slot, fixed, within) for blocks, _ in parsed]
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())})
 
     return dealt.groupBy("host", "part").applyInArrow(run, SCHEMA)

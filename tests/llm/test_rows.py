@@ -78,6 +78,21 @@ def test_pages_without_marks_and_odd_ones(spark):
     assert [b[3] for b in parse(mixed)[0] if not b[1]] == ["T", "ab c", "d", "e"]
 
 
+def test_template_blocks_inside_articles(spark):
+    """A box that the host repeats goes, named or not; of near copies, or of too few pages, nothing does."""
+    page = "<html><body><article><h1>About {0}</h1><p>{0} first words of some length here</p><div><b>Read us daily</b></div><p>more on {0} and {0} again</p><p>Written by us</p></article></body></html>"
+    copy = "<html><body><article><h1>Same title</h1><p>The same long story on every page</p><p>seen {0}</p></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"story{i}")) for i in range(8)]
+    rows += [(20 + i, f"http://near.example/{i}", copy.format(i)) for i in range(8)]
+    rows += [(40 + i, f"http://few.example/{i}", page.format(f"story{i}")) for i in range(3)]
+    rows += [(60 + i, f"http://same.example/{i}", page.format("one").replace("<article>", f"<div>ad {i}</div><article>")) for i in range(8)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "About story3 story3 first words of some length here more on story3 and story3 again"
+    assert got[23] == "Same title The same long story on every page seen 3"
+    assert got[41] == "About story1 story1 first words of some length here Read us daily more on story1 and story1 again Written by us"
+    assert got[62] == got[41].replace("story1", "one")
+
+
 def test_mix(spark, odd, make):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == odd.count() and all(r.taken <= 3 * r.size for r in got)
