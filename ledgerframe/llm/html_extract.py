@@ -22,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP, TABLE = 64, 1 << 18
+from ledgerframe.llm.common import checkpoint
+
+#: Pages in a group about; hosts of more pages than that, whose counts are broadcast at most.
+GROUP, FEW = 64, 1 << 17
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
@@ -194,10 +197,12 @@ def extract(pages: DataFrame) -> DataFrame:
     with the page; repeated pages count once for a template. A null url belongs to a host of its own."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
-    slot = F.pmod(F.xxhash64("host"), F.lit(TABLE)).alias("slot")
-    # a table of at most TABLE rows, whatever the number of hosts: hosts that share a row get smaller groups
-    sizes = p.groupBy(slot).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    dealt = p.withColumn("slot", slot).join(F.broadcast(sizes), "slot").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).drop("slot", "groups")
+    p = p.withColumn("key", F.unhex(F.md5("host")))
+    # only hosts of more than GROUP pages are split, each by its own count
+    sizes = checkpoint(p.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups")).where("groups > 1"))
+    # a few are of bounded size and go to the pages; more meet them by shuffle
+    sizes = F.broadcast(sizes) if sizes.limit(FEW + 1).count() <= FEW else sizes.hint("merge")
+    dealt = p.join(sizes, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0))).drop("key", "groups")
 
     def run(t: pa.Table) -> pa.Table:
         parsed = [parse(x) for x in t.column("html").to_pylist()]

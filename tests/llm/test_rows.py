@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import mixing, quality, topk
+from ledgerframe.llm import html_extract, mixing, quality, topk
 from ledgerframe.llm.html_extract import extract, parse
 from ledgerframe.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import same
@@ -93,6 +93,18 @@ def test_template_blocks_inside_articles(spark):
     assert got[62] == got[41].replace("story1", "one")
 
 
+def test_groups_of_a_host_depend_on_no_other(spark, monkeypatch):
+    """One host has most pages, and there are many small hosts: each of those is one group; joined either way."""
+    page = "<html><body><div class=top><a>Home</a> <a>About</a></div><div class=body><p>{0} first words here</p><p>more of {0}</p></div><div class=end>All rights</div></body></html>"
+    hosts = ["hot.example"] * 3000 + [f"h{i % 40}.example" for i in range(400)]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", page.format(f"story{i}")) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "TABLE", 1, raising=False)  # of the former table of counts by hash: all in one row
+    for few in (1 << 17, 0):
+        monkeypatch.setattr(html_extract, "FEW", few, raising=False)
+        got = extract(df).collect()
+        assert len(got) == len(hosts) and all(r.text == f"story{r.page_id} first words here more of story{r.page_id}" for r in got)
+
+
 def test_mix(spark, odd, make):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == odd.count() and all(r.taken <= 3 * r.size for r in got)
