@@ -1,7 +1,8 @@
 """Op 6, near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles of five words. Document frequencies of all documents are kept in a table of fixed size by hash, as in feature
-   hashing: it is the one thing that is broadcast (TABLE counters of four bytes), whatever the corpus.
+1. Shingles of five words. Their document frequencies are exact: chunks of texts send their shingles, packed and counted, to
+   shards by hash, whose number grows with the corpus; a shard adds them up and sends each chunk the counts of what more
+   than one document has. Nothing is broadcast. A text keeps the IDF of its shingles, packed, for what follows.
 2. Equal texts (as words) are one class from the start; only one text of each class goes on.
 3. Each text gets BANDS * ROWS samples: two texts have the same one with the probability of their weighted Jaccard
    similarity. Texts that agree in all samples of a band meet in a bucket.
@@ -17,21 +18,23 @@ doesn't hold. Buckets are counted before the shuffle and joined by sort-merge, w
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import WS, checkpoint, texts
+from ledgerframe.llm.common import checkpoint, texts
 from ledgerframe.llm.repeats import Text
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-TABLE, SLICES = 1 << 20, 16
+#: Bytes of text in a chunk, and for each shard of shingles, about; shards at least.
+CHUNK, SHARD, LEAST = 4_000_000, 25_000_000, 24
 #: Bytes of text on each side of a block, with ROW more for each text; shingles that are sampled at once.
 BLOCK, ROW, AT_ONCE = 2_000_000, 2_000, 4096
 SEED = 0x6C62272E07BB0142
@@ -83,11 +86,51 @@ def _portions(raw: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
         yield some
 
 
-def weights(raw: list[bytes], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each text, distinct shingles in order, and TF * IDF of each."""
+def _packed(s: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte, so that the shuffle's compression finds the upper ones empty."""
+    return np.diff(s, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+class Idf:
+    """IDF of shingles by their document frequencies; one that isn't among them is in one document.
+
+    IDF is between 1 and 2: shared shingles of a large group of copies keep half the weight of unique ones at least, so that
+    a group's size alone doesn't push its members apart."""
+
+    def __init__(self, hashes: list[bytes], counts: list[bytes], n: int):
+        s = np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, hashes)])
+        df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in counts)])
+        order = np.argsort(s)
+        self.s, self.df, self.n = s[order], df[order], max(2, n)
+
+    def frequencies(self, s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.s, s)
+        out = np.ones(len(s), np.int64)
+        found = at < len(self.s)
+        found[found] = self.s[at[found]] == s[found]
+        out[found] = self.df[at[found]]
+        return out
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return (1 + np.log(self.n / np.clip(self.frequencies(s), 1, self.n)) / np.log(self.n)).astype(np.float32)
+
+
+def weights(raw: list[bytes], idf: Idf | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, distinct shingles in order, and TF * IDF of each. An array holds weights by 20 bits of the hash."""
     for all_of in shingles(raw):
         s, tf = np.unique(all_of, return_counts=True)
-        yield s, tf * idf[(s >> np.uint64(44)).astype(np.int64)]
+        yield s, tf * (idf.of(s) if isinstance(idf, Idf) else idf[(s >> np.uint64(44)).astype(np.int64)])
+
+
+def kept_weights(raw: Iterable[bytes], kept: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, of texts that come with their IDF."""
+    for all_of, idf in zip(shingles(list(raw)), kept, strict=True):
+        s, tf = np.unique(all_of, return_counts=True)
+        yield s, tf * np.frombuffer(zlib.decompress(idf), np.float32)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -121,55 +164,107 @@ def bands(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """How many documents have a shingle with such a hash, of all documents; and how many documents there are, at the end."""
+class Frequencies(NamedTuple):
+    """texts has chunk, node, least, n and text, copies mostly as one row; counts has chunk, hashes and counts: of the
+    chunk's shingles that more than one document has, in how many; n is the number of documents."""
+
+    texts: DataFrame
+    counts: DataFrame
+    n: int
+
+
+def _merged(t: pa.Table) -> tuple[list[bytes], list[int | None], np.ndarray, list[bytes]]:
+    """Nodes of a chunk, once each: node, least doc_id, number of documents and text."""
+    of: dict[bytes, list] = {}
+    for node, least, n, k in zip(*(t.column(c).to_pylist() for c in ("node", "least", "n")), range(t.num_rows), strict=True):
+        row = of.setdefault(node, [least, 0, k])
+        row[1] += n
+        row[0] = min((x for x in (row[0], least) if x is not None), default=None)
+    raw = t.column("text").cast(pa.binary()).take(pa.array([x[2] for x in of.values()], pa.int64())).to_pylist()
+    return list(of), [x[0] for x in of.values()], np.array([x[1] for x in of.values()], np.int64), raw
 
-    def count(batches):
-        table, n = np.zeros(TABLE, np.int64), 0
+
+def document_frequencies(docs: DataFrame) -> Frequencies:
+    """How many documents have each shingle, exactly, copies and documents without an id included."""
+    size = texts(docs).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    chunks, shards = (size.bytes or 0) // CHUNK + 1, max(LEAST, (size.bytes or 0) // SHARD + 1)
+
+    def combine(batches):  # copies in a batch become one row, so that no chunk gets a large group whole
         for b in batches:
-            for x in shingles(b.column("text").cast(pa.binary()).to_pylist()):
-                table[np.unique(x >> np.uint64(44)).astype(np.int64)] += 1
-                n += 1
-        rows = [(k, TaskContext.get().partitionId() % 64, zlib.compress(part.astype(np.int64 if part.max() >= 1 << 31 else np.uint32).tobytes(), 1), 8 if part.max() >= 1 << 31 else 4) for k, part in enumerate(np.split(table, SLICES)) if part.any()]
-        rows.append((SLICES, 0, zlib.compress(np.array([n], np.int64).tobytes()), 8))
-        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["slice", "part", "counts", "width"])
+            of: dict[bytes, list] = {}
+            for k, (text, doc_id) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("doc_id").to_pylist(), strict=True)):
+                if node := digest(text):
+                    row = of.setdefault(node, [doc_id, 0, k])
+                    row[1] += 1
+                    if doc_id is not None and (row[0] is None or doc_id < row[0]):
+                        row[0] = doc_id
+            chunk = pa.array([int.from_bytes(x[:8], "big") % chunks for x in of], pa.int64())
+            least, n, at = (pa.array([x[k] for x in of.values()], pa.int64()) for k in range(3))
+            yield pa.record_batch([chunk, pa.array(list(of), pa.binary()), least, n, b.column("text").take(at)], names=["chunk", "node", "least", "n", "text"])
+
+    def send(t: pa.Table) -> pa.Table:
+        _, _, n, raw = _merged(t)
+        each = [np.unique(x) for x in shingles(raw)]
+        s, at = np.unique(np.concatenate(each), return_inverse=True)
+        counts = np.bincount(at, np.repeat(n, [len(x) for x in each])).astype(np.int64)
+        shard = ((s >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # in order, as s is
+        cut = np.searchsorted(shard, np.arange(shards + 1))
+        rows = [k for k in range(shards) if cut[k] < cut[k + 1]]
+        pieces = [[f(x[cut[k] : cut[k + 1]]) for k in rows] for x, f in ((s, _packed), (counts, np.ndarray.tobytes))]
+        return pa.table([pa.array(rows, pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in pieces)], names=["shard", "chunk", "hashes", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64 if w == 8 else np.uint32).astype(np.int64) for c, w in zip(t.column("counts").to_pylist(), t.column("width").to_pylist(), strict=True))
-        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), "width": pa.array([8], pa.int32())})
-
-    schema = "slice int, part int, counts binary, width int"
-    summed = texts(docs).select("text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    out = np.zeros(TABLE + 1, np.int64)
-    for r in summed.collect():  # SLICES + 1 rows of fixed size
-        part, at = np.frombuffer(zlib.decompress(r.counts), np.int64), r.slice * (TABLE // SLICES)
-        out[at : at + len(part)] = part
-    return out
+        hashes = [_unpacked(x) for x in t.column("hashes").to_pylist()]
+        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()])).astype(np.int64)[at]
+        parts = list(zip(hashes, np.split(total, np.cumsum([len(x) for x in hashes])[:-1]), strict=True))
+        return pa.table([t.column("chunk"), pa.array([_packed(h[d > 1]) for h, d in parts], pa.binary()), pa.array([d[d > 1].tobytes() for _, d in parts], pa.binary())], names=["chunk", "hashes", "counts"])
 
+    combined = texts(docs).mapInArrow(combine, "chunk long, node binary, least long, n long, text string")
+    sent = combined.groupBy("chunk").applyInArrow(send, "shard long, chunk long, hashes binary, counts binary")
+    return Frequencies(combined, sent.groupBy("shard").applyInArrow(add, "chunk long, hashes binary, counts binary"), size.n)
 
-def inverse(df: np.ndarray) -> np.ndarray:
-    """IDF between 1 and 2: shared shingles of a large group of copies keep half the weight of unique ones at least, so that
-    a group's size alone doesn't push its members apart."""
-    n = max(2, int(df[-1]))
-    return (1 + np.log(np.maximum(n, 1) / np.clip(df[:-1], 1, n)) / np.log(n)).astype(np.float32)
+
+def inverse(df: Frequencies) -> Idf:
+    """Of all shingles at once, for small tables."""
+    rows = df.counts.select("hashes", "counts").collect()
+    s, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r.hashes) for r in rows)]), return_index=True)
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in rows)])[first]
+    return Idf([_packed(s)], [counts.tobytes()], df.n)
 
 
-def content() -> Column:
-    """The digest of the words of a text; null without any."""
-    words = F.trim(F.regexp_replace("text", f"[{WS}]+", " "))
-    return F.when(words != "", F.unhex(F.md5(words)))
+def digest(text: bytes) -> bytes | None:
+    """Of the words of a text; none without any."""
+    words = b" ".join(text.split())
+    return hashlib.md5(words, usedforsecurity=False).digest() if words else None
 
 
-def signatures(named: DataFrame, idf) -> DataFrame:
-    """(doc_id, content, size, bands): size in bytes, and the keys of the bands."""
+def contents(docs: DataFrame, text: bool = True) -> DataFrame:
+    """(doc_id, content[, text]) of each row."""
 
-    def sign(batches):
+    def run(batches):
         for b in batches:
-            raw = b.column("text").cast(pa.binary()).to_pylist()
-            keys = [bands(x, w).tolist() if len(x) else [] for x, w in weights(raw, idf.value)]
-            yield pa.record_batch([b.column("doc_id"), b.column("content"), pa.array(map(len, raw), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "size", "bands"])
+            found = pa.array(map(digest, b.column("text").cast(pa.binary()).to_pylist()), pa.binary())
+            yield pa.record_batch([b.column("doc_id"), found, *([b.column("text")] if text else [])], names=["doc_id", "content", *(["text"] if text else [])])
+
+    return texts(docs).mapInArrow(run, "doc_id long, content binary" + ", text string" * text)
+
+
+def signatures(df: Frequencies) -> DataFrame:
+    """(node, least, size, bands, idf) of each distinct text: its least doc_id, size in bytes, the keys of the bands, and
+    the IDF of its distinct shingles in order, packed."""
+    n = df.n
+
+    def sign(mine: pa.Table, counts: pa.Table) -> pa.Table:
+        nodes, least, _, raw = _merged(mine)
+        idf = Idf(counts.column("hashes").to_pylist(), counts.column("counts").to_pylist(), n)
+        keys, kept = [], []
+        for s, w in weights(raw, idf):
+            keys.append(bands(s, w).tolist())
+            kept.append(zlib.compress(idf.of(s).tobytes(), 1))
+        return pa.table([pa.array(nodes, pa.binary()), pa.array(least, pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["node", "least", "size", "bands", "idf"])
 
-    return named.mapInArrow(sign, "doc_id long, content binary, size long, bands array<long>")
+    return df.texts.groupBy("chunk").cogroup(df.counts.groupBy("chunk")).applyInArrow(sign, "node binary, least long, size long, bands array<long>, idf binary")
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -177,21 +272,23 @@ def _shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b) of those pairs that are as similar as that; known has the text of each."""
-    both = pairs.join(_shuffled(known.select(F.col("node").alias("a"), F.col("text").alias("text_a"))), "a").join(_shuffled(known.select(F.col("node").alias("b"), F.col("text").alias("text_b"))), "b")
+def _verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of those pairs that are as similar as that; known has the text and IDF of each."""
+    side = lambda c: _shuffled(known.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"), F.col("idf").alias(f"idf_{c}")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches):
         for t in batches:
             xs, ys = (t.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
+            of = dict(zip([*xs, *ys], [*t.column("idf_a").to_pylist(), *t.column("idf_b").to_pylist()], strict=True))
             ok = []  # each text of a portion is cut into shingles once
             for k in range(0, len(xs), 200):
                 part = {*xs[k : k + 200], *ys[k : k + 200]}
-                seen = dict(zip(part, weights(list(part), idf.value), strict=True))
+                seen = dict(zip(part, kept_weights(part, [of[x] for x in part]), strict=True))
                 ok += [similarity(seen[x], seen[y]) >= threshold for x, y in zip(xs[k : k + 200], ys[k : k + 200], strict=True)]
             yield pa.record_batch([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b", "idf_a", "idf_b").mapInArrow(check, "a binary, b binary")
 
 
 def _links(nodes: list[bytes], asks: np.ndarray, member: np.ndarray, loose: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[bytes, bytes]]:
@@ -224,7 +321,7 @@ def _links(nodes: list[bytes], asks: np.ndarray, member: np.ndarray, loose: np.n
     return out
 
 
-def _blocks(led: DataFrame, known: DataFrame, idf, threshold: float) -> DataFrame:
+def _blocks(led: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links of texts that a bucket's leader doesn't hold, with all others of the bucket. led has band, key, node,
     size and loose (not held) of all but the leaders."""
     weight = F.col("size") + F.lit(ROW)
@@ -239,12 +336,12 @@ def _blocks(led: DataFrame, known: DataFrame, idf, threshold: float) -> DataFram
 
     def compare(t: pa.Table) -> pa.Table:
         of: dict[bytes, list] = {}  # a text may be on both sides
-        for node, loose, member, text in zip(*(t.column(c).to_pylist() for c in ("node", "loose", "member")), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            row = of.setdefault(node, [False, False, loose, text])
+        for node, loose, member, idf, text in zip(*(t.column(c).to_pylist() for c in ("node", "loose", "member", "idf")), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            row = of.setdefault(node, [False, False, loose, text, idf])
             row[member] = True
         nodes = sorted(of)
         asks, member, loose = (np.array([of[x][k] for x in nodes], bool) for k in range(3))
-        out = _links(nodes, asks, member, loose, list(weights([of[x][3] for x in nodes], idf.value)), threshold) if asks.any() else []
+        out = _links(nodes, asks, member, loose, list(kept_weights([of[x][3] for x in nodes], [of[x][4] for x in nodes])), threshold) if asks.any() else []
         return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "b"])
 
     return rows.groupBy("band", "key", "row", "col").applyInArrow(compare, "a binary, b binary")
@@ -270,27 +367,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Documents without words, null or empty, are classes of their own. Each row has the class of its own text, also if its
     doc_id is repeated. Rows with a null doc_id have a null class and join no others. An empty table gives no rows."""
-    spark = docs.sparkSession
-    named = texts(docs).withColumn("content", content())
-    idf = spark.sparkContext.broadcast(inverse(document_frequencies(docs)))
-    signed = checkpoint(signatures(named, idf))
-    equal = checkpoint(signed.where("content is not null and doc_id is not null").groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    equal = checkpoint(signatures(document_frequencies(docs)).where("least is not null"))
     at = equal.select("node", "size", F.posexplode("bands").alias("band", "key"))
     many = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = checkpoint(at.join(_shuffled(many), ["band", "key"]))  # texts that meet others, in each bucket
     popular = checkpoint(met.groupBy("node").agg(F.sum("n").alias("pop")))
-    known = named.where("content is not null and doc_id is not null").groupBy(F.col("content").alias("node")).agg(F.first("text").alias("text"))  # copies go before the shuffle
-    known = checkpoint(known.join(_shuffled(popular.select("node")), "node", "left_semi"))
+    known = contents(docs).where("content is not null and doc_id is not null").groupBy(F.col("content").alias("node")).agg(F.first("text").alias("text"))  # copies go before the shuffle
+    known = checkpoint(known.join(_shuffled(equal.join(_shuffled(popular.select("node")), "node", "left_semi").select("node", "idf")), "node"))
     ranked = met.join(_shuffled(popular), "node")
     lead = ranked.groupBy("band", "key").agg(F.max(F.struct("pop", "node")).alias("lead")).select("band", "key", F.col("lead.node").alias("lead"))
     led = checkpoint(met.join(_shuffled(lead), ["band", "key"]).where("node <> lead").select("band", "key", "node", "size", "lead"))
-    star = checkpoint(_verified(led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), known, idf, threshold))
+    star = checkpoint(_verified(led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), known, threshold))
     held = led.join(_shuffled(star), (F.least("node", "lead") == star.a) & (F.greatest("node", "lead") == star.b), "left")
     loose = checkpoint(held.select("band", "key", "node", "size", F.col("a").isNull().alias("loose")))
-    links = checkpoint(star.union(_blocks(loose, known, idf, threshold)))
+    links = checkpoint(star.union(_blocks(loose, known, threshold)))
     classes = components(links)
     roots = equal.join(_shuffled(classes), "node", "left").select("node", "least", F.coalesce("class", "node").alias("class"))
     least = roots.groupBy("class").agg(F.min("least").alias("class_id"))
     of = roots.join(_shuffled(least), "class").select(F.col("node").alias("content"), "class_id")
-    out = signed.select("doc_id", "content").join(_shuffled(of), "content", "left")
+    out = contents(docs, False).join(_shuffled(of), "content", "left")
     return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

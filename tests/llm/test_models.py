@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from tokenizers import Tokenizer, models
@@ -111,6 +111,26 @@ def test_near_duplicates(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_document_frequencies_are_exact(spark, make, monkeypatch):
+    """Weights are those of brute force, however chunks and shards fall: more shingles than a table of 2**20 tells apart."""
+    words = [" ".join(f"d{k}w{i}" for i in range(3000)) for k in range(100)]
+    rows = [(k, w) for k, w in enumerate(words)] + [(500, words[7] + " "), (None, words[7]), (501, words[3] + " end"), (502, "one two"), (503, None)]
+    docs = make(*rows)
+    raw = [(t or "").encode() for _, t in rows]
+    df = Counter(h for x in minhash.shingles(raw) for h in set(x.tolist()))
+    if hasattr(minhash, "CHUNK"):
+        monkeypatch.setattr(minhash, "CHUNK", 300_000)
+    frequencies = minhash.document_frequencies(docs)
+    for s, w in minhash.weights(raw, minhash.inverse(frequencies)):
+        want = [1 + np.log(len(rows) / df[h]) / np.log(len(rows)) for h in s.tolist()]
+        assert np.allclose(w, want, atol=1e-6)  # no shingle occurs twice in a text
+    got = {r.node: r for r in minhash.signatures(frequencies).collect()}
+    assert len(got) == 102 and min(r.least for r in got.values()) == 0
+    row = got[minhash.digest(raw[7])]
+    ((_, w),) = minhash.kept_weights([raw[7]], [row.idf])
+    assert np.allclose(w, 1 + np.log(len(rows) / 3) / np.log(len(rows)), atol=1e-6) and row.least == 7
+
+
 def test_blocks_of_any_size_find_the_same_classes(spark, make, monkeypatch):
     """Families whose members drift apart, so that a leader doesn't hold them all: classes are those of all pairs."""
     rng, rows = np.random.default_rng(5), []
