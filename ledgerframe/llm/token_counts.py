@@ -2,16 +2,21 @@
 
 An Aho-Corasick automaton enumerates the vocabulary's pieces in a text; dynamic programming carries, for each end, the
 best score and how many pieces it took, and nothing else: no back-pointers, no ids. The rules are those of the unigram
-model of the ``tokenizers`` library: white space becomes the mark U+2581 before each word; at equal scores the piece that
-starts first stands; a character that no piece of one character covers costs the least score less 10 as an unknown, and
-consecutive unknowns count as one.
-
-Scores are integers (of this vocabulary, minus the rank), so sums are exact, and no piece has a mark but at its start.
-Hence the best split of a text is that of each word with its mark, and a word is counted once for a batch of documents.
+model of the ``tokenizers`` library with byte fallback: a text gets the mark U+2581 before it and for each blank; at equal
+scores the piece that starts first stands; a character that no piece of one character covers costs the least score less 10
+as an unknown, and counts as its bytes in UTF-8. Line breaks and tabs are such characters. Without byte fallback,
+consecutive unknowns count as one, and white space only parts words.
+
+Scores are integers (of this vocabulary, minus the rank), so sums are exact, and no piece has a mark but at its start: those
+with marks inside score -10**9 in the model, below any number of single marks that a text holds. Hence a text can be cut
+before each mark and around each line break, and the best split is that of each part; a part is counted once for a batch of
+documents.
 """
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +50,13 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
 
 
 class Counter:
-    """Counts the pieces of words over one vocabulary."""
+    """Counts the pieces of words over one vocabulary; with fallback, of all of a text, unknown characters as bytes."""
 
-    def __init__(self, vocab: list[tuple[str, float]], unknown: int):
+    def __init__(self, vocab: list[tuple[str, float]], unknown: int, fallback: bool = False):
+        self.fallback = fallback
+        held = {c for k, (piece, _) in enumerate(vocab) if k != unknown for c in piece}
+        breaks = "".join(c for c in "\t\n\x0b\x0c\r" if c not in held)
+        self.parts = re.compile(f"{MARK}?[^{MARK}{breaks}]+|{MARK}" + f"|[{breaks}]" * bool(breaks))
         self.automaton = ahocorasick.Automaton()
         for k, (piece, score) in enumerate(vocab):
             if k != unknown:
@@ -73,20 +82,23 @@ class Counter:
                 if best[e] is None or base + score > best[e]:
                     best[e], count[e], after_unknown[e] = base + score, count[s] + 1, False
             if not single and (best[s + 1] is None or base + self.unknown > best[s + 1]):
-                best[s + 1], count[s + 1], after_unknown[s + 1] = base + self.unknown, count[s] + (not after_unknown[s]), True
+                best[s + 1], count[s + 1], after_unknown[s + 1] = base + self.unknown, count[s] + (len(word[s].encode()) if self.fallback else not after_unknown[s]), True
         return best[n], count[n]
 
     def text(self, text: str) -> tuple[int, int, float]:
         """Words, pieces, score."""
         words = text.split()
+        parts = [MARK + w for w in words]
+        if self.fallback:
+            parts = self.parts.findall(MARK + text.replace(" ", MARK)) if words else []
         known = self.known
         if len(known) > REMEMBER:
             known.clear()
         n, total = 0, 0.0
-        for w in words:
+        for w in parts:
             x = known.get(w)
             if x is None:
-                x = known[w] = self.word(MARK + w)
+                x = known[w] = self.word(w)
             total += x[0]
             n += x[1]
         return len(words), n, total
@@ -97,7 +109,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         if path not in _loaded:
-            _loaded[path] = Counter(*vocabulary(path))
+            _loaded[path] = Counter(*vocabulary(path), fallback=True)
         counter = _loaded[path]
         for b in batches:
             found = [counter.text(t) for t in b.column("text").to_pylist()]

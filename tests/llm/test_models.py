@@ -62,6 +62,20 @@ def test_token_counts_equal_the_library(spark, data, odd):
     assert len(rows) == odd.count() and all(r.n_tokens == 0 for r in rows if r.n_words == 0)
 
 
+def test_white_space_and_bytes_are_counted(spark, data, make):
+    """As the library with byte fallback counts the whole text, blanks as marks."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    vocab, unknown = token_counts.vocabulary(path)
+    t = Tokenizer(models.Unigram([*vocab, *((f"<0x{k:02X}>", 0.0) for k in range(256))], unknown, True))
+    odd = ["a\nb", "a\n\n\tb\r\n", "  a    b ", "漢字𠀀𠀁 ͸͹ ab͸c͸", "x" + "𠀀" * 50, "▁▁a\n ▁", "a\u00a0b\u3000c\x85d\u2028e"]
+    own = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect() if (r.text or "").split()] + odd
+    docs = make(*enumerate(own))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
+    for k, text in enumerate(own):
+        assert got[k] == len(t.encode("▁" + text.replace(" ", "▁")).ids)
+    assert got[len(own) - len(odd)] == 3 and got[len(own) - 3] == token_counts.Counter(vocab, unknown).text("x")[1] + 200
+
+
 def test_toxicity(spark, odd):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = {r.doc_id: r.toxic for r in labels.collect()}
