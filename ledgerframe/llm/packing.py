@@ -17,16 +17,16 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import checkpoint, texts
-from ledgerframe.llm.repeats import Text
 
 CAPACITY, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Bytes of text that are tokenized at once, and words whose ids a worker remembers.
-BATCH_BYTES, REMEMBER = 2_000_000, 500_000
+#: Bytes of text that are tokenized at once; bytes of words and ids that a worker remembers, until its partition ends.
+BATCH_BYTES, REMEMBER = 4_000_000, 16_000_000
 #: Hash buckets in which the pieces of one length are numbered.
 BUCKETS = 256
 
@@ -47,86 +47,85 @@ class Words:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = Tokenizer.from_file(path)
-        self.merge.encode_special_tokens = True
         self.merge.normalizer, self.merge.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.full.get_vocab_size() + 1, bool)
         for token, k in self.full.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words: dict[bytes, bytes] = {}
-        self.forms: dict[str, bytes] = {}
-
-    def _form(self, part: str) -> str:
-        return part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-
-    def learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
-        for w in words:
-            text = w.decode()
-            m = PLAIN.fullmatch(text)
-            if m:
-                plain.append((w, [self._form(m[1].lower()), *([m[2]] if m[2] else [])]))
-            else:
-                odd.append((w, text))
-        new = list({f for _, forms in plain for f in forms} - self.forms.keys())
-        if len(self.forms) + len(new) > REMEMBER:
-            self.forms.clear()
-            new = list({f for _, forms in plain for f in forms})
-        if new:
-            ids = np.array(self.merge.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(new) or last[-1] != len(ids):
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.words: dict[str, bytes] = {}
+        self.room = REMEMBER
+
+    def learn(self, words: list[str]) -> None:
+        found = list(map(PLAIN.fullmatch, words))
+        plain = [w for w, m in zip(words, found, strict=True) if m]
+        odd = [w for w, m in zip(words, found, strict=True) if not m]
+        if plain:
+            parts = [f"{m[1]} {m[2]}" if m[2] else m[1] for m in found if m]
+            joined = " ".join(parts).lower()
+            if not joined.isascii():
+                for c in set(joined) & self.letters.keys():
+                    joined = joined.replace(c, self.letters[c])
+            ids = np.array(self.merge.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([1 + (" " in x) for x in parts]) - 1  # of each word, its last part
+            if len(ends) != last[-1] + 1 or ends[-1] != len(ids):
                 raise ValueError("the tokenizer doesn't mark the ends of words")
-            raw, last = ids.tobytes(), (4 * last).tolist()
-            self.forms.update(zip(new, (raw[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)), strict=True))
-        for w, forms in plain:
-            self.words[w] = b"".join([self.forms[f] for f in forms])
-        for (w, _), e in zip(odd, self.full.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, np.uint32).tobytes()
-
-
-def encode(raw: list[bytes], path: str) -> list[np.ndarray]:
-    """Ids of each text (UTF-8), END last. White space only separates for this tokenizer: words are encoded once each."""
-    known = (_loaded.get(path) or _loaded.setdefault(path, Words(path))).words
-    text = Text(np.arange(len(raw)), raw, True)
-    n = len(text.starts)
-    at = np.arange(n)
-    _, first, inverse = np.unique(text.fingerprints(at, at + 1) if n else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
-    words = [text.buffer[s:e] for s, e in zip(text.starts[first].tolist(), text.ends[first].tolist(), strict=True)]
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > REMEMBER:
-        known.clear()
-        new = words
-    _loaded[path].learn(new)
-    ids = [known[w] for w in words]
+            raw, cut = ids.tobytes(), (4 * ends[last]).tolist()
+            self.words.update(zip(plain, (raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)), strict=True))
+            self.room -= len(raw) + len(joined)
+        for w, e in zip(odd, self.full.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            ids = self.words[w] = np.array(e.ids, np.uint32).tobytes()
+            self.room -= len(ids) + len(w)
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.room = REMEMBER
+
+
+def encode(raw: pa.Array, path: str) -> list[bytes]:
+    """Ids of each text, 32 bits each, END last. White space only separates for this tokenizer: words are encoded once each.
+    The tokenizer's special tokens in a text are their own ids, as the library has it."""
+    words = _loaded.get(path) or _loaded.setdefault(path, Words(path))
+    split = pc.ascii_split_whitespace(raw)
+    own = split.flatten().dictionary_encode()
+    n, at = len(own.dictionary), own.indices.to_numpy()
+    # no word holds white space: joined and split again, which is faster than a scalar at a time
+    distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), own.dictionary), "\n")[0].as_py().split("\n") if n else []
+    if words.room <= 0:
+        words.forget()
+    ids = list(map(words.words.get, distinct))
+    if new := [w for w, x in zip(distinct, ids, strict=True) if x is None]:
+        words.learn(new)
+        ids = [words.words[w] if x is None else x for w, x in zip(distinct, ids, strict=True)]
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), np.uint32)
+    upto = np.concatenate([[0], np.cumsum(size[at])])
     begin = np.cumsum(size) - size
-    each = size[inverse] if n else np.zeros(0, np.int64)
-    upto = np.concatenate([[0], np.cumsum(each)])
-    own = np.arange(upto[-1]) + np.repeat(begin[inverse] - upto[:-1], each) if n else np.zeros(0, np.int64)
-    tokens = flat[own]
-    return [np.append(tokens[upto[a] : upto[b]], np.uint32(END)) for a, b in zip(text.first, text.last, strict=True)]
+    tokens = np.frombuffer(b"".join(ids), np.uint32)[np.arange(upto[-1]) + np.repeat(begin[at] - upto[:-1], size[at])].tobytes()
+    edge = (4 * upto[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]).tolist()
+    end = END.to_bytes(4, "little")
+    return [tokens[a:b] + end for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def cut(batches):
         for batch in batches:
-            ids, raw = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
-            size = np.cumsum(pa.compute.binary_length(raw).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+            ids, raw = batch.column("doc_id").to_pylist(), batch.column("text")
+            size = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False)) // BATCH_BYTES
             edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(ids)] if len(ids) else [0]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 rows = []
-                for doc, tokens in zip(ids[a:b], encode(raw.slice(a, b - a).to_pylist(), path), strict=True):
-                    for k, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start : start + capacity]
-                        rows.append((doc, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                for doc, tokens in zip(ids[a:b], encode(raw.slice(a, b - a), path), strict=True):
+                    for k, at in enumerate(range(0, len(tokens), 4 * capacity)):
+                        part = tokens[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for words in _loaded.values():  # workers live on and wait for other stages
+            words.forget()
 
     return texts(docs).mapInArrow(cut, PIECES)
 

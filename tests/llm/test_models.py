@@ -14,11 +14,11 @@ from ledgerframe.llm.common import tokenizer_file
 WORDS = "word_bpe_49k.json"
 
 
-def test_packing(spark, data, odd):
+def test_packing(spark, data, odd, make):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd)
+    docs = docs.unionByName(make((9001, "a <|endoftext|> b"), (9002, "x<|startoftext|>y ends.<|endoftext|>"), (9003, "Don't İt ǅ e\u0301 \u0301 a ß ſ\u00a0b\u3000c"), (9004, "one.two\x1cthree\x85four")))
     rows = packing.pack(docs, tokenizer_file(WORDS)).collect()
     t = Tokenizer.from_file(tokenizer_file(WORDS))
-    t.encode_special_tokens = True
     want = []
     for d in docs.collect():
         ids = np.array([*t.encode(d.text or "", add_special_tokens=False).ids, 0], "<u4")
