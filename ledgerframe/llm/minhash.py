@@ -1,8 +1,8 @@
 """Op 6, near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Shingles of five words. Their document frequencies are exact: chunks of texts send their shingles, packed and counted, to
-   shards by hash, whose number grows with the corpus; a shard adds them up and sends each chunk the counts of what more
-   than one document has. Nothing is broadcast. A text keeps the IDF of its shingles, packed, for what follows.
+   shards by hash, whose number grows with the corpus; a shard adds them up and answers each chunk with the totals in the
+   order of what it sent. Nothing is broadcast. A text keeps the IDF of its shingles, packed, for what follows.
 2. Equal texts (as words) are one class from the start; only one text of each class goes on.
 3. Each text gets BANDS * ROWS samples: two texts have the same one with the probability of their weighted Jaccard
    similarity. Texts that agree in all samples of a band meet in a bucket.
@@ -19,12 +19,12 @@ doesn't hold. Buckets are counted before the shuffle and joined by sort-merge, w
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from ledgerframe.llm.repeats import Text
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Bytes of text in a chunk, and for each shard of shingles, about; shards at least.
-CHUNK, SHARD, LEAST = 4_000_000, 25_000_000, 24
+CHUNK, SHARD, LEAST = 8_000_000, 25_000_000, 24
 #: Bytes of text on each side of a block, with ROW more for each text; shingles that are sampled at once.
 BLOCK, ROW, AT_ONCE = 2_000_000, 2_000, 4096
 SEED = 0x6C62272E07BB0142
@@ -86,6 +86,14 @@ def _portions(raw: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
         yield some
 
 
+def _pack(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(x)
+
+
+def _unpack(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def _packed(s: np.ndarray) -> bytes:
     """Sorted hashes as differences, byte by byte, so that the shuffle's compression finds the upper ones empty."""
     return np.diff(s, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -95,28 +103,22 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
-class Idf:
-    """IDF of shingles by their document frequencies; one that isn't among them is in one document.
-
-    IDF is between 1 and 2: shared shingles of a large group of copies keep half the weight of unique ones at least, so that
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    """IDF is between 1 and 2: shared shingles of a large group of copies keep half the weight of unique ones at least, so that
     a group's size alone doesn't push its members apart."""
+    n = max(2, n)
+    return (1 + np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.float32)
 
-    def __init__(self, hashes: list[bytes], counts: list[bytes], n: int):
-        s = np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, hashes)])
-        df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in counts)])
-        order = np.argsort(s)
-        self.s, self.df, self.n = s[order], df[order], max(2, n)
 
-    def frequencies(self, s: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.s, s)
-        out = np.ones(len(s), np.int64)
-        found = at < len(self.s)
-        found[found] = self.s[at[found]] == s[found]
-        out[found] = self.df[at[found]]
-        return out
+class Idf:
+    """IDF of shingles by their document frequencies, all in memory: for small tables."""
+
+    def __init__(self, keys: np.ndarray, df: np.ndarray, n: int, shift: int):
+        order = np.argsort(keys)
+        self.keys, self.df, self.n, self.shift = keys[order], df[order], n, np.uint64(shift)
 
     def of(self, s: np.ndarray) -> np.ndarray:
-        return (1 + np.log(self.n / np.clip(self.frequencies(s), 1, self.n)) / np.log(self.n)).astype(np.float32)
+        return inverse_frequency(self.df[np.searchsorted(self.keys, s >> self.shift)], self.n)
 
 
 def weights(raw: list[bytes], idf: Idf | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,7 +132,7 @@ def kept_weights(raw: Iterable[bytes], kept: Iterable[bytes]) -> Iterator[tuple[
     """The same, of texts that come with their IDF."""
     for all_of, idf in zip(shingles(list(raw)), kept, strict=True):
         s, tf = np.unique(all_of, return_counts=True)
-        yield s, tf * np.frombuffer(zlib.decompress(idf), np.float32)
+        yield s, tf * np.frombuffer(_unpack(idf), np.float32)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -165,72 +167,100 @@ def bands(s: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Frequencies(NamedTuple):
-    """texts has chunk, node, least, n and text, copies mostly as one row; counts has chunk, hashes and counts: of the
-    chunk's shingles that more than one document has, in how many; n is the number of documents."""
+    """texts has chunk, node, least, n and text (packed), copies mostly as one row; counts has chunk, shard and df: in how many
+    documents each of the chunk's shingles is, in their order; n is the number of documents; of a shingle's hash the bits
+    above ``shift`` count: twice as many as their number has and two more, so that hardly two of them agree by chance."""
 
     texts: DataFrame
     counts: DataFrame
     n: int
+    shift: int
 
 
 def _merged(t: pa.Table) -> tuple[list[bytes], list[int | None], np.ndarray, list[bytes]]:
-    """Nodes of a chunk, once each: node, least doc_id, number of documents and text."""
+    """Nodes of a chunk, once each and in order: node, least doc_id, number of documents and text."""
     of: dict[bytes, list] = {}
     for node, least, n, k in zip(*(t.column(c).to_pylist() for c in ("node", "least", "n")), range(t.num_rows), strict=True):
         row = of.setdefault(node, [least, 0, k])
         row[1] += n
         row[0] = min((x for x in (row[0], least) if x is not None), default=None)
-    raw = t.column("text").cast(pa.binary()).take(pa.array([x[2] for x in of.values()], pa.int64())).to_pylist()
-    return list(of), [x[0] for x in of.values()], np.array([x[1] for x in of.values()], np.int64), raw
+    nodes = sorted(of)
+    raw = t.column("text").take(pa.array([of[x][2] for x in nodes], pa.int64())).to_pylist()
+    return nodes, [of[x][0] for x in nodes], np.array([of[x][1] for x in nodes], np.int64), list(map(_unpack, raw))
+
+
+def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[list], pa.Array]]:
+    """Texts of a batch that have words, equal ones once: nodes; least doc_id and number of each; texts, packed. So a group of
+    copies of any size is a row a batch before it is shuffled."""
+    for b in batches:
+        of: dict[bytes, list] = {}
+        raw = b.column("text").cast(pa.binary()).to_pylist()
+        for k, (text, doc_id) in enumerate(zip(raw, b.column("doc_id").to_pylist(), strict=True)):
+            if node := digest(text):
+                row = of.setdefault(node, [doc_id, 0, k])
+                row[1] += 1
+                if doc_id is not None and (row[0] is None or doc_id < row[0]):
+                    row[0] = doc_id
+        yield list(of), [x[:2] for x in of.values()], pa.array([_pack(raw[x[2]]) for x in of.values()], pa.binary())
+
+
+def _of_chunk(raw: list[bytes], shift: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Each text's distinct shingles and how often it has them; the chunk's, in order; which of those each text's are, end to end."""
+    each = [np.unique(x, return_counts=True) for x in shingles(raw)]
+    keys, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in each)]) >> np.uint64(shift), return_inverse=True)
+    return each, keys, at
 
 
 def document_frequencies(docs: DataFrame) -> Frequencies:
     """How many documents have each shingle, exactly, copies and documents without an id included."""
     size = texts(docs).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    chunks, shards = (size.bytes or 0) // CHUNK + 1, max(LEAST, (size.bytes or 0) // SHARD + 1)
+    total = size.bytes or 0
+    chunks, shards, bits = total // CHUNK + 1, max(LEAST, total // SHARD + 1), min(64, 2 * max(1, total // 4).bit_length() + 2)
+    shift = 64 - bits
 
-    def combine(batches):  # copies in a batch become one row, so that no chunk gets a large group whole
-        for b in batches:
-            of: dict[bytes, list] = {}
-            for k, (text, doc_id) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("doc_id").to_pylist(), strict=True)):
-                if node := digest(text):
-                    row = of.setdefault(node, [doc_id, 0, k])
-                    row[1] += 1
-                    if doc_id is not None and (row[0] is None or doc_id < row[0]):
-                        row[0] = doc_id
-            chunk = pa.array([int.from_bytes(x[:8], "big") % chunks for x in of], pa.int64())
-            least, n, at = (pa.array([x[k] for x in of.values()], pa.int64()) for k in range(3))
-            yield pa.record_batch([chunk, pa.array(list(of), pa.binary()), least, n, b.column("text").take(at)], names=["chunk", "node", "least", "n", "text"])
+    def combine(batches):
+        for nodes, rows, packed in _distinct(batches):
+            chunk = pa.array([int.from_bytes(x[:8], "big") % chunks for x in nodes], pa.int64())
+            yield pa.record_batch([chunk, pa.array(nodes, pa.binary()), *(pa.array([x[k] for x in rows], pa.int64()) for k in range(2)), packed], names=["chunk", "node", "least", "n", "text"])
 
     def send(t: pa.Table) -> pa.Table:
         _, _, n, raw = _merged(t)
-        each = [np.unique(x) for x in shingles(raw)]
-        s, at = np.unique(np.concatenate(each), return_inverse=True)
-        counts = np.bincount(at, np.repeat(n, [len(x) for x in each])).astype(np.int64)
-        shard = ((s >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # in order, as s is
+        each, keys, at = _of_chunk(raw, shift)
+        counts = np.bincount(at, np.repeat(n, [len(x) for x, _ in each]), len(keys)).astype(np.int64)
+        shard = (keys >> np.uint64(bits - min(bits, 32))).astype(np.int64) * shards >> min(bits, 32)  # in order, as keys are
         cut = np.searchsorted(shard, np.arange(shards + 1))
         rows = [k for k in range(shards) if cut[k] < cut[k + 1]]
-        pieces = [[f(x[cut[k] : cut[k + 1]]) for k in rows] for x, f in ((s, _packed), (counts, np.ndarray.tobytes))]
-        return pa.table([pa.array(rows, pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in pieces)], names=["shard", "chunk", "hashes", "counts"])
+        pieces = [[f(x[cut[k] : cut[k + 1]]) for k in rows] for x, f in ((keys, _packed), (counts, np.ndarray.tobytes))]
+        return pa.table([pa.array(rows, pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in pieces)], names=["shard", "chunk", "keys", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        hashes = [_unpacked(x) for x in t.column("hashes").to_pylist()]
-        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        keys = [_unpacked(x) for x in t.column("keys").to_pylist()]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()])).astype(np.int64)[at]
-        parts = list(zip(hashes, np.split(total, np.cumsum([len(x) for x in hashes])[:-1]), strict=True))
-        return pa.table([t.column("chunk"), pa.array([_packed(h[d > 1]) for h, d in parts], pa.binary()), pa.array([d[d > 1].tobytes() for _, d in parts], pa.binary())], names=["chunk", "hashes", "counts"])
+        parts = np.split(total, np.cumsum([len(x) for x in keys])[:-1])
+        return pa.table([t.column("chunk"), t.column("shard"), pa.array([_pack(x.tobytes()) for x in parts], pa.binary())], names=["chunk", "shard", "df"])
+
+    combined = texts(docs).mapInArrow(combine, "chunk long, node binary, least long, n long, text binary")
+    sent = combined.groupBy("chunk").applyInArrow(send, "shard long, chunk long, keys binary, counts binary")
+    return Frequencies(combined, sent.groupBy("shard").applyInArrow(add, "chunk long, shard long, df binary"), size.n, shift)
 
-    combined = texts(docs).mapInArrow(combine, "chunk long, node binary, least long, n long, text string")
-    sent = combined.groupBy("chunk").applyInArrow(send, "shard long, chunk long, hashes binary, counts binary")
-    return Frequencies(combined, sent.groupBy("shard").applyInArrow(add, "chunk long, hashes binary, counts binary"), size.n)
+
+def _answered(counts: pa.Table) -> np.ndarray:
+    """Frequencies of a chunk's shingles in their order: shards are ranges."""
+    rows = sorted(zip(counts.column("shard").to_pylist(), counts.column("df").to_pylist(), strict=True))
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_unpack(x), np.int64) for _, x in rows)])
 
 
 def inverse(df: Frequencies) -> Idf:
     """Of all shingles at once, for small tables."""
-    rows = df.counts.select("hashes", "counts").collect()
-    s, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r.hashes) for r in rows)]), return_index=True)
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in rows)])[first]
-    return Idf([_packed(s)], [counts.tobytes()], df.n)
+    shift = df.shift
+
+    def run(mine: pa.Table, counts: pa.Table) -> pa.Table:
+        _, keys, _ = _of_chunk(_merged(mine)[3], shift)
+        return pa.table([pa.array(keys.view(np.int64)), pa.array(_answered(counts))], names=["key", "df"])
+
+    rows = df.texts.groupBy("chunk").cogroup(df.counts.groupBy("chunk")).applyInArrow(run, "key long, df long").distinct().collect()
+    return Idf(np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.df for r in rows], np.int64), df.n, shift)
 
 
 def digest(text: bytes) -> bytes | None:
@@ -239,29 +269,40 @@ def digest(text: bytes) -> bytes | None:
     return hashlib.md5(words, usedforsecurity=False).digest() if words else None
 
 
-def contents(docs: DataFrame, text: bool = True) -> DataFrame:
-    """(doc_id, content[, text]) of each row."""
+def contents(docs: DataFrame) -> DataFrame:
+    """(doc_id, content) of each row."""
 
     def run(batches):
         for b in batches:
-            found = pa.array(map(digest, b.column("text").cast(pa.binary()).to_pylist()), pa.binary())
-            yield pa.record_batch([b.column("doc_id"), found, *([b.column("text")] if text else [])], names=["doc_id", "content", *(["text"] if text else [])])
+            yield pa.record_batch([b.column("doc_id"), pa.array(map(digest, b.column("text").cast(pa.binary()).to_pylist()), pa.binary())], names=["doc_id", "content"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, content binary")
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(node, text), packed; copies once a batch."""
+
+    def run(batches):
+        for nodes, _, packed in _distinct(batches):
+            yield pa.record_batch([pa.array(nodes, pa.binary()), packed], names=["node", "text"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, content binary" + ", text string" * text)
+    return texts(docs).mapInArrow(run, "node binary, text binary")
 
 
 def signatures(df: Frequencies) -> DataFrame:
     """(node, least, size, bands, idf) of each distinct text: its least doc_id, size in bytes, the keys of the bands, and
     the IDF of its distinct shingles in order, packed."""
-    n = df.n
+    n, shift = df.n, df.shift
 
     def sign(mine: pa.Table, counts: pa.Table) -> pa.Table:
         nodes, least, _, raw = _merged(mine)
-        idf = Idf(counts.column("hashes").to_pylist(), counts.column("counts").to_pylist(), n)
+        each, _, at = _of_chunk(raw, shift)
+        idf, upto = inverse_frequency(_answered(counts), n)[at], np.cumsum([0, *(len(x) for x, _ in each)])
         keys, kept = [], []
-        for s, w in weights(raw, idf):
-            keys.append(bands(s, w).tolist())
-            kept.append(zlib.compress(idf.of(s).tobytes(), 1))
+        for k, (s, tf) in enumerate(each):
+            own = idf[upto[k] : upto[k + 1]]
+            keys.append(bands(s, tf * own).tolist())
+            kept.append(_pack(own.tobytes()))
         return pa.table([pa.array(nodes, pa.binary()), pa.array(least, pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["node", "least", "size", "bands", "idf"])
 
     return df.texts.groupBy("chunk").cogroup(df.counts.groupBy("chunk")).applyInArrow(sign, "node binary, least long, size long, bands array<long>, idf binary")
@@ -279,12 +320,12 @@ def _verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame
 
     def check(batches):
         for t in batches:
-            xs, ys = (t.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
-            of = dict(zip([*xs, *ys], [*t.column("idf_a").to_pylist(), *t.column("idf_b").to_pylist()], strict=True))
+            xs, ys = (t.column(c).to_pylist() for c in ("a", "b"))
+            of = dict(zip([*xs, *ys], zip([*t.column("text_a").to_pylist(), *t.column("text_b").to_pylist()], [*t.column("idf_a").to_pylist(), *t.column("idf_b").to_pylist()], strict=True), strict=True))
             ok = []  # each text of a portion is cut into shingles once
             for k in range(0, len(xs), 200):
-                part = {*xs[k : k + 200], *ys[k : k + 200]}
-                seen = dict(zip(part, kept_weights(part, [of[x] for x in part]), strict=True))
+                part = sorted({*xs[k : k + 200], *ys[k : k + 200]})
+                seen = dict(zip(part, kept_weights([_unpack(of[x][0]) for x in part], [of[x][1] for x in part]), strict=True))
                 ok += [similarity(seen[x], seen[y]) >= threshold for x, y in zip(xs[k : k + 200], ys[k : k + 200], strict=True)]
             yield pa.record_batch([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -336,12 +377,12 @@ def _blocks(led: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
 
     def compare(t: pa.Table) -> pa.Table:
         of: dict[bytes, list] = {}  # a text may be on both sides
-        for node, loose, member, idf, text in zip(*(t.column(c).to_pylist() for c in ("node", "loose", "member", "idf")), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for node, loose, member, idf, text in zip(*(t.column(c).to_pylist() for c in ("node", "loose", "member", "idf", "text")), strict=True):
             row = of.setdefault(node, [False, False, loose, text, idf])
             row[member] = True
         nodes = sorted(of)
         asks, member, loose = (np.array([of[x][k] for x in nodes], bool) for k in range(3))
-        out = _links(nodes, asks, member, loose, list(kept_weights([of[x][3] for x in nodes], [of[x][4] for x in nodes])), threshold) if asks.any() else []
+        out = _links(nodes, asks, member, loose, list(kept_weights([_unpack(of[x][3]) for x in nodes], [of[x][4] for x in nodes])), threshold) if asks.any() else []
         return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "b"])
 
     return rows.groupBy("band", "key", "row", "col").applyInArrow(compare, "a binary, b binary")
@@ -372,8 +413,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     many = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = checkpoint(at.join(_shuffled(many), ["band", "key"]))  # texts that meet others, in each bucket
     popular = checkpoint(met.groupBy("node").agg(F.sum("n").alias("pop")))
-    known = contents(docs).where("content is not null and doc_id is not null").groupBy(F.col("content").alias("node")).agg(F.first("text").alias("text"))  # copies go before the shuffle
-    known = checkpoint(known.join(_shuffled(equal.join(_shuffled(popular.select("node")), "node", "left_semi").select("node", "idf")), "node"))
+    known = distinct_texts(docs).join(_shuffled(equal.join(_shuffled(popular.select("node")), "node", "left_semi").select("node", "idf")), "node")
+    known = checkpoint(known.groupBy("node").agg(F.first("text").alias("text"), F.first("idf").alias("idf")))  # in place, after the join's shuffle
     ranked = met.join(_shuffled(popular), "node")
     lead = ranked.groupBy("band", "key").agg(F.max(F.struct("pop", "node")).alias("lead")).select("band", "key", F.col("lead.node").alias("lead"))
     led = checkpoint(met.join(_shuffled(lead), ["band", "key"]).where("node <> lead").select("band", "key", "node", "size", "lead"))
@@ -385,5 +426,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = equal.join(_shuffled(classes), "node", "left").select("node", "least", F.coalesce("class", "node").alias("class"))
     least = roots.groupBy("class").agg(F.min("least").alias("class_id"))
     of = roots.join(_shuffled(least), "class").select(F.col("node").alias("content"), "class_id")
-    out = contents(docs, False).join(_shuffled(of), "content", "left")
+    out = contents(docs).join(_shuffled(of), "content", "left")
     return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
