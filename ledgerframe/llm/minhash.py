@@ -34,7 +34,7 @@ from ledgerframe.llm.repeats import Text
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Bytes of text in a chunk, and for each shard of shingles, about; shards at least.
-CHUNK, SHARD, LEAST = 8_000_000, 25_000_000, 24
+CHUNK, SHARD, LEAST = 4_000_000, 8_000_000, 24
 #: Bytes of text on each side of a block, with ROW more for each text; shingles that are sampled at once.
 BLOCK, ROW, AT_ONCE = 2_000_000, 2_000, 4096
 SEED = 0x6C62272E07BB0142
