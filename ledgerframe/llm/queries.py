@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.llm import mixing, quality, substring_dedup, topk
+from ledgerframe.llm import mixing, quality, substring_dedup, suffix_dedup, topk
 from ledgerframe.llm.common import table, tokenizer_file
 from ledgerframe.llm.html_extract import extract
 from ledgerframe.llm.minhash import near_duplicates
@@ -60,4 +60,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (op1_substring_dedup, op2_quality_rules, op3_packing, op4_toxicity, op5_topk, op6_minhash, op7_token_counts, op8_html_extract, op9_mixing, op10_suffix_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_topk": topk.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_topk": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

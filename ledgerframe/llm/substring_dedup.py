@@ -1,13 +1,15 @@
 """Op 1, substring dedup: repeated passages of words, located by Aho-Corasick automata.
 
-Recurring passages are confirmed over the whole corpus by repeats.py. Each shard (a chunk of documents) then compiles an
-automaton of the confirmed passages its documents can hold, cut into windows, and streams its documents through it; every
-occurrence found removes its words. A shard's automaton is never larger than its text.
+Passages that can recur meet in shards (see repeats.py). A shard confirms those that do: it counts the contents of windows over
+the whole corpus, without places. Consecutive confirmed windows are a passage, whose first and last window cover it. Those
+are compiled into the shard's automaton over words, and the text of every document that can match streams
+through it: each occurrence it finds, and nothing else, removes its words. Equal stretches of documents stream once for all.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -17,35 +19,42 @@ from pyspark.sql import DataFrame
 from ledgerframe.llm.repeats import Text, covered, documents, repeats
 
 
-def _passages(text: Text, starts: np.ndarray, length: int) -> set[bytes]:
-    """Windows that cover what the confirmed ones cover: of each run the first, those that follow end to end, the last."""
-    if not len(starts):
-        return set()
-    edge = np.flatnonzero(np.diff(starts) != 1) + 1
-    runs = zip(starts[np.concatenate([[0], edge])], starts[np.concatenate([edge - 1, [len(starts) - 1]])], strict=True)
-    at = {int(x) for a, b in runs for x in (*range(a, b, length), b)}
-    return {text.buffer[text.starts[x] : text.ends[x + length - 1]] for x in at}
-
-
-def _occurrences(text: Text, passages: set[bytes], length: int) -> np.ndarray:
-    """Numbers of the words at which a passage starts, as one automaton finds them."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in passages:
-        automaton.add_word(f" {p.decode('latin-1')} ")
+def confirmed(text: Text, times: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Passages that recur, as the first and last window (numbers of words) of one place of each."""
+    at = text.windows(length)
+    if not len(at):
+        return []
+    own = np.searchsorted(text.first, at, "right") - 1
+    _, content = np.unique(text.fingerprints(at, at + length), return_inverse=True)
+    often = np.flatnonzero(np.bincount(content, times[own])[content] > 1)
+    if not len(often):
+        return []
+    edge = np.flatnonzero((np.diff(at[often]) != 1) | (np.diff(own[often]) != 0)) + 1
+    return list(zip(at[often[np.concatenate([[0], edge])]].tolist(), at[often[np.concatenate([edge - 1, [len(often) - 1]])]].tolist(), strict=True))
+
+
+def compiled(words: list[int], passages: list[tuple[int, int]], length: int) -> ahocorasick.Automaton:
+    """Of windows that cover the passages: the first, those that follow end to end, and the last."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for window in {tuple(words[x : x + length]) for a, b in passages for x in (*range(a, b, length), b)}:
+        automaton.add_word(window, 1)
     automaton.make_automaton()
-    found = []
-    for k, _, a, b in documents(text):
-        if b - a >= length:
-            ends = [e for e, _ in automaton.iter(f" {text.raw[k].decode('latin-1')} ")]
-            if ends:  # the match ends with the blank after its last word
-                last = np.searchsorted(text.ends[a:b], np.array(ends) - 1 + text.offsets[k])
-                found.append(a + last - length + 1)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return automaton
 
 
-def _gone(text: Text, starts: np.ndarray, length: int) -> np.ndarray:
-    passages = _passages(text, starts, length)
-    return covered(text, _occurrences(text, passages, length) if passages else starts, length)
+def located(passages: list[bytes], times: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Of each window of the passages, end to end, whether the automaton finds it."""
+    text = Text(np.arange(len(passages)), passages, True)
+    number: dict[bytes, int] = {}
+    words = [number.setdefault(w, len(number)) for x in text.raw for w in x.split()]
+    out, first = np.zeros(int(windows.sum()), bool), np.cumsum(windows) - windows
+    found = confirmed(text, times, length)
+    if found:
+        automaton = compiled(words, found, length)
+        for k, _, a, b in documents(text):
+            ends = [e for e, _ in automaton.iter(tuple(words[a:b]))]
+            out[first[k] + np.array(ends, np.int64) - length + 1] = True
+    return out
 
 
 def _kept(text: Text, k: int, a: int, b: int, gone: np.ndarray) -> bytes:
@@ -61,12 +70,13 @@ def remove_repeated_passages(docs: DataFrame, length: int = 35, phrase: int = 8)
     repeats."""
 
     def finish(text: Text, starts: np.ndarray) -> pa.Table:
-        gone = _gone(text, starts, length)
+        gone = covered(text, starts, length)
         rows = [(doc, b - a, int(gone[a:b].sum()), hashlib.sha256(_kept(text, k, a, b, gone[a:b])).hexdigest()) for k, doc, a, b in documents(text)]
         cols = list(zip(*rows, strict=True)) or [()] * 4
         return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(),) * 3 + (pa.string(),), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return repeats(docs, length, phrase, True, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    decide = partial(located, length=length)
+    return repeats(docs, length, phrase, True, decide, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeated_passages(docs: DataFrame, length: int = 35, phrase: int = 8) -> DataFrame:
@@ -74,13 +84,14 @@ def without_repeated_passages(docs: DataFrame, length: int = 35, phrase: int = 8
     words are joined by single blanks, others stay as they are; null texts come back empty."""
 
     def finish(text: Text, starts: np.ndarray) -> pa.Table:
-        gone = _gone(text, starts, length)
+        gone = covered(text, starts, length)
         old = text.table.column("text").to_pylist()
         new = [_kept(text, k, a, b, gone[a:b]).decode() if gone[a:b].any() else old[k] for k, _, a, b in documents(text)]
         ids = pa.array(text.ids.tolist(), pa.int64())
         return pa.table([ids, pa.array(new, pa.string()), text.table.column("_lang"), text.table.column("_source"), pa.array(map(len, new), pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
 
-    return repeats(docs, length, phrase, True, finish, "doc_id long, text string, lang string, source string, n_chars long", carry=("lang", "source"))
+    decide = partial(located, length=length)
+    return repeats(docs, length, phrase, True, decide, finish, "doc_id long, text string, lang string, source string, n_chars long", carry=("lang", "source"))
 
 
 ORACLE = r"""

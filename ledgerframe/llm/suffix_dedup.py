@@ -97,7 +97,7 @@ def repeated_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.n
     if not len(starts):
         return out
     ranks = CoverRanks(data, length)
-    head = ranks.head[starts].astype(np.uint64)
+    head = ranks.head[starts].astype(np.uint64) >> np.uint64(max(0, 64 - 8 * length))
     splitters = np.unique(np.sort(head)[BUCKET::BUCKET])
     bucket = np.searchsorted(splitters, head, "right")
     for k in range(len(splitters) + 1):

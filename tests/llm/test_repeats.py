@@ -7,9 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import ledgerframe.llm.repeats as engine
+from ledgerframe.llm import substring_dedup, suffix_dedup
 from ledgerframe.llm.substring_dedup import remove_repeated_passages, without_repeated_passages
 from ledgerframe.llm.suffix_dedup import remove_repeated_bytes
 
@@ -75,8 +77,44 @@ def test_planted(make, monkeypatch, seed, chunk):
 def test_odd_rows(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert Counter(map(tuple, remove_repeated_passages(odd).collect())) == brute_words(rows)
-    got = {(r.doc_id, r.n_bytes): r for r in remove_repeated_bytes(odd.where("doc_id < 6 or doc_id is null")).collect()}
-    assert got[(3, 0)].n_removed == 0 and got[(3, 0)].kept_sha256 == hashlib.sha256(b"").hexdigest()
+    assert Counter(map(tuple, remove_repeated_bytes(odd).collect())) == brute_bytes(rows)
+
+
+def test_hot_anchors(make, monkeypatch):
+    """Anchors that occur more often than HOT send their windows one by one: the same result."""
+    monkeypatch.setattr(engine, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(engine, "HOT", 1)
+    rows = planted(3)
+    assert Counter(map(tuple, remove_repeated_passages(make(*rows)).collect())) == brute_words(rows)
+    assert Counter(map(tuple, remove_repeated_bytes(make(*rows)).collect())) == brute_bytes(rows)
+
+
+def test_the_automaton_locates():
+    """Places come from the automaton alone: with another one they are others."""
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([*["a", "b"][k % 2 :], *passage, f"e{k}"]).encode() for k in range(3)]
+    windows = np.array([len(x.split()) - 34 for x in texts])
+    want = substring_dedup.located(texts, np.ones(3, int), windows, 35)
+    assert want.sum() == 3 * 2 + 2 and want.any()  # the first and last window of what recurs: p0 to p49 in all, after b in two
+    none = substring_dedup.ahocorasick.Automaton(substring_dedup.ahocorasick.STORE_INTS, substring_dedup.ahocorasick.KEY_SEQUENCE)
+    none.add_word((10**6,), 1)
+    none.make_automaton()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substring_dedup, "compiled", lambda *_: none)
+        assert not substring_dedup.located(texts, np.ones(3, int), windows, 35).any()
+
+
+@pytest.mark.parametrize("length", [9, 40, 400])
+def test_suffixes_of_any_kind(length, monkeypatch):
+    r = random.Random(length)
+    for trial in range(12):
+        monkeypatch.setattr(suffix_dedup, "BUCKET", r.choice([16, 1000, 1 << 16]))
+        base = bytes(r.choice(b"ab") if trial % 2 else r.randrange(256) for _ in range(3000))
+        text = b"".join(base[a : a + r.randint(length, 3 * length)] for a in [r.randrange(0, 3000) for _ in range(20)]) + bytes(r.randint(length, 2 * length))
+        starts = np.array(sorted(r.sample(range(len(text) - length + 1), (len(text) - length) * 2 // 3 + 1)))
+        times = Counter(text[i : i + length] for i in starts.tolist())
+        want = [times[text[i : i + length]] > 1 for i in starts.tolist()]
+        assert suffix_dedup.repeated_suffixes(np.frombuffer(text, np.uint8), starts, length).tolist() == want
 
 
 def test_empty_table(odd):
