@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import html_extract, mixing, quality, topk
-from ledgerframe.llm.html_extract import extract, parse
+from ledgerframe.llm.html_extract import Paths, extract, parse
 from ledgerframe.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import same
 
@@ -49,14 +49,30 @@ def test_top_k_ties_and_odd_vectors(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
-def test_top_k_many_blocks(spark, data, monkeypatch):
+def test_top_k_many_cells(spark, data, monkeypatch):
     df = spark.read.parquet(f"{data}/embeddings.parquet")
     want = sorted(topk.top_k(df).collect())
-    monkeypatch.setattr(topk, "QUERIES", 1)
-    monkeypatch.setattr(topk, "FEW", 0)
+    for name, value in (("CANDIDATES", 60), ("QUERIES", 1), ("PIVOTS", 5), ("SAMPLE", 20)):
+        monkeypatch.setattr(topk, name, value)
     assert sorted(topk.top_k(df).collect()) == want
 
 
+def test_top_k_tells_rows_apart(spark):
+    """Rows with one id are queries and candidates each, equal rows as often as they occur; large components count."""
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (0, [-1.0, 2.0]), (50, [0.0, 1.0]), (1, [3e12, 1.0]), (2, [-3e12, 1.0]), (2, [-3e12, 1.0]), (3, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("i", F.lit(0))
+    v = [(i, [int(256 * x) for x in x]) for i, x in rows]
+    want = []
+    for a, (q, x) in enumerate(v):
+        if q % 50 == 0:
+            s = sorted((-sum(m * n for m, n in zip(x, y, strict=False)), i) for b, (i, y) in enumerate(v) if a != b)[:5]
+            want += [(q, k, i, -n) for k, (n, i) in enumerate(s, 1)]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError|too large|too big"):
+        topk.top_k(huge).collect()
+
+
 def test_articles(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
@@ -75,7 +91,37 @@ def test_pages_without_marks_and_odd_ones(spark):
     assert (got[100], got[101], got[102], got[103]) == ("", "", "unclosed text", "")
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     mixed = "<article><header><h1>T</h1></header><p>a<i>b</i> c</p><aside>no</aside><div id='comments'><p>no</p></div><p>d<br>e</p></article>"
-    assert [b[3] for b in parse(mixed)[0] if not b[1]] == ["T", "ab c", "d", "e"]
+    paths = Paths()
+    assert [b.text for b in parse(mixed, paths).blocks if not b.unwanted and not paths.named[paths.parent[b.path]]] == ["T", "ab c", "d", "e"]
+
+
+def test_pages_without_marking_tags(spark):
+    """The template decides, not the tags: plain divs, or such with classes that say nothing, give the same texts, where a host
+    has pages enough."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id < 400").withColumn("url", F.concat(F.lit("http://h.example/"), "page_id"))
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(article|main)\\b", "<div"), "</(article|main|nav|aside|footer)>", "</div>"))
+    for k, tag in enumerate(("nav", "aside", "footer", 'div class="ad"')):
+        plain = plain.withColumn("html", F.replace("html", F.lit(f"<{tag}>"), F.lit(f"<div class=q{k}>")))
+    assert plain.where("html rlike '<(article|nav|aside|footer)'").count() == 0
+    want = {r.page_id: r.text for r in extract(pages).collect()}
+    got = {r.page_id: r.text for r in extract(plain).collect()}
+    assert sum(want[k] == got[k] for k in want) >= 0.99 * len(want)
+
+
+def test_names_in_articles_and_depth(spark):
+    page = "<html><body><div class=menu><a>Home</a> <a>About</a></div><div class=story><h1>On {0}</h1><p>{0} first words of some length here</p>{1}<div class=comments><p>reader {0} says no</p></div></div><div>All rights</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"tale{i}", '<div class="related-work"><p>earlier work counts <label>too</label></p></div>' if i == 3 else "")) for i in range(8)]
+    deep = "<div>" * 100_000 + "deep text" + "</span>" * 1000 + "</div>" * 100_000
+    rows += [(100, "http://deep.example/", deep), (101, "http://deep.example/b", deep), (200, "http://one.example/", "<main>only <b>page</b></main><div class=ad>buy</div>")]
+    rows += [(300, "http://twice.example/", page.format("same", ""))] * 70
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("part", F.lit("x"))
+    got = extract(df).collect()
+    assert len(got) == len(rows)
+    text = {r.page_id: r.text for r in got}
+    assert text[3] == "On tale3 tale3 first words of some length here earlier work counts too"
+    assert text[5] == "On tale5 tale5 first words of some length here"
+    assert text[100] == text[101] == "deep text" and text[200] == "only page"
+    assert len({r.text for r in got if r.page_id == 300}) == 1 and "same first words of some length here" in text[300]
 
 
 def test_template_blocks_inside_articles(spark):
