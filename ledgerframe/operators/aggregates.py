@@ -153,7 +153,7 @@ class SnapshottingStore:
     def hydrate(self, a: Aggregate | None, to_version: int = 0) -> None:
         if a is None:
             raise NilAggregate("no aggregate")
-        if to_version and a.version >= to_version:
+        if to_version < 0 or to_version and a.version >= to_version:
             return self.inner.hydrate(a, to_version)
         try:
             s = self.snapshots.read(a.id, to_version)

@@ -14,7 +14,7 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     if low is None:
         return df.withColumn(name, F.lit(0).cast("long"))
     width = max(1, -(-(high - low + 1) // n))
-    cut = df.withColumn("_bucket", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long"))
+    cut = df.withColumn("_bucket", F.expr(f"(`{order}` - {low}L) div {width}L"))
     counts = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))

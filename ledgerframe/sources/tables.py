@@ -19,15 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stream for each user, in the order of event ids; positions are ids from 1. One shuffle, by user, which whatever
-    groups by stream afterwards can share."""
-    ev = table(spark, sf_dir, "events")
-    version = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    ev = ev.select("user_id", "event_id", "event_type", "ts", "value", "props", version.alias("stream_version"))
-    uid = ids.uuid_of(F.col("user_id"))
-    return ev.select(
-        (F.col("event_id") + 1).alias("global_position"), F.lit("user").alias("stream_type"), uid.alias("stream_uuid"),
-        ids.typed_id(F.lit("user"), uid).alias("stream_id"), "stream_version", "event_type", F.col("ts").alias("timestamp"),
+    """One stream for each user, in the order of event ids; positions are ids from 1. One shuffle, by stream, which whatever
+    groups by stream afterwards shares."""
+    ev, uid = table(spark, sf_dir, "events"), ids.uuid_of(F.col("user_id"))
+    ev = ev.select("user_id", uid.alias("stream_uuid"), ids.typed_id(F.lit("user"), uid).alias("stream_id"), "event_id", "event_type", "ts", "value", "props")
+    version = F.row_number().over(Window.partitionBy("stream_id").orderBy("event_id")).cast("long")
+    return ev.withColumn("stream_version", version).select(
+        (F.col("event_id") + 1).alias("global_position"), F.lit("user").alias("stream_type"), "stream_uuid",
+        "stream_id", "stream_version", "event_type", F.col("ts").alias("timestamp"),
         F.col("value").cast("decimal(18,2)").alias("amount"), F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.lit("application/json").alias("data_content_type"), "user_id",
     )

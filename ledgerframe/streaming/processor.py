@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ledgerframe.errors import CheckpointNotFound
 from ledgerframe.functions.ids import ProjectionId
-from ledgerframe.sources.log import EVENTS, EventLog
+from ledgerframe.sources.log import EVENTS, EventLog, files_of
 
 
 class Processor:
@@ -73,51 +73,69 @@ class Processor:
         return self.batch == 0 or n < self.batch
 
 
+#: Positions that one task reads where ``batch`` doesn't say.
+EACH = 1_000_000
+
+
 class _Range(InputPartition):
-    def __init__(self, after: int, to: int):
-        self.after, self.to = after, to
+    """Positions past ``after`` up to ``to``, the files that can hold them, and what was deleted."""
+
+    def __init__(self, after: int, to: int, files: list[str], cut: list[tuple[str, int | None, int]]):
+        self.after, self.to, self.files, self.cut = after, to, files, cut
 
 
 class _Positions(DataSourceStreamReader):
-    """Offsets are global positions; files say which positions they hold."""
+    """Offsets are global positions. The newest is always the log's head, whatever was handled before, so a restart goes on from
+    Spark's own offset; ``batch`` bounds what one task reads, not how far a micro-batch goes."""
 
     def __init__(self, options: dict[str, Any]):
-        self.root, self.start, self.limit = options["path"].rstrip("/"), int(options.get("after", 0)), int(options.get("batch", 0))
-        self.last = self.start
+        self.root, self.start, self.each = options["path"].rstrip("/"), int(options.get("after", 0)), int(options.get("batch", 0)) or EACH
+        self.read_to, self.position, self.files, self.cut = 0, 0, [], []
 
-    def _commits(self) -> list[dict]:
+    def _refresh(self) -> None:
+        """Commits that are new since the last look."""
         import json
         import os
 
-        folder = f"{self.root}/commits"
-        return [json.load(open(f"{folder}/{f}")) for f in sorted(os.listdir(folder)) if f.endswith(".json")]
+        while os.path.exists(path := f"{self.root.removeprefix('file:')}/commits/{self.read_to + 1:020d}.json"):
+            with open(path) as f:
+                commit = json.load(f)
+            self.files += files_of(commit, self.position)
+            self.cut += [tuple(t) for t in commit.get("tombstones", ())]
+            self.position, self.read_to = max(self.position, commit["position"]), self.read_to + 1
 
     def initialOffset(self) -> dict:
         return {"position": self.start}
 
     def latestOffset(self) -> dict:
-        head = max((c["position"] for c in self._commits()), default=0)
-        self.last = min(head, self.last + self.limit) if self.limit else head
-        return {"position": self.last}
+        self._refresh()
+        return {"position": max(self.start, self.position)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Range(start["position"], end["position"])]
+        self._refresh()
+        out, files = [], [f for f in self.files if f.to > start["position"] and f.after < end["position"]]
+        for after in range(start["position"], end["position"], self.each):
+            to = min(after + self.each, end["position"])
+            own = [f for f in files if f.to > after and f.after < to]
+            held = {f.stream for f in own}
+            out.append(_Range(after, to, [f.path.removeprefix("file:") for f in own], [t for t in self.cut if t[0] in held]))
+        return out
 
     def read(self, part: InputPartition):
+        """A file at a time: files are in the order of positions, as their rows are."""
         import pyarrow.dataset as ds
 
-        commits = self._commits()
-        files = [f"{x.removeprefix('file:')}" for c in commits for x in c.get("files", ())]
-        cut = [t for c in commits for t in c.get("tombstones", ())]
-        if not files or part.to <= part.after:
-            return
-        t = ds.dataset([p for f in files for p in ds.dataset(f, format="parquet").files], format="parquet")
-        t = t.to_table(filter=(ds.field("global_position") > part.after) & (ds.field("global_position") <= part.to)).sort_by("global_position")
-        for r in t.to_pylist():
-            if not any(r["stream_id"] == s and r["global_position"] <= at and (to is None or r["stream_version"] <= to) for s, to, at in cut):
-                at = r["timestamp"]
-                own = r | {"metadata": dict(r["metadata"]), "timestamp": at if at.tzinfo else at.replace(tzinfo=UTC)}
-                yield tuple(own[f.name] for f in EVENTS.fields)
+        cut: dict[str, list[tuple[int | None, int]]] = {}
+        for stream_id, to, at in part.cut:
+            cut.setdefault(stream_id, []).append((to, at))
+        own = (ds.field("global_position") > part.after) & (ds.field("global_position") <= part.to)
+        for file in part.files:
+            for batch in ds.dataset(file, format="parquet").to_batches(filter=own):
+                for r in batch.to_pylist():
+                    if not any(r["global_position"] <= at and (to is None or r["stream_version"] <= to) for to, at in cut.get(r["stream_id"], ())):
+                        at = r["timestamp"]
+                        row = r | {"metadata": dict(r["metadata"]), "timestamp": at if at.tzinfo else at.replace(tzinfo=UTC)}
+                        yield tuple(row[f.name] for f in EVENTS.fields)
 
     def commit(self, end: dict) -> None:
         pass

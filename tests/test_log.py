@@ -206,3 +206,17 @@ def test_random_scripts_against_a_list(spark, tmp_path):
     assert [(r.global_position, r.stream_id, r.stream_version) for r in log.read_all()] == model
     for s in tips:
         assert versions(log.read_stream(s)) == [e[2] for e in model if e[1] == str(s)]
+
+
+def test_reads_open_only_files_that_can_match(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "pruned"))
+    a, b = TypedId.new_v4("storetest"), TypedId.new_v4("storetest")
+    for stream, n in ((a, 2), (b, 3), (a, 2), (b, 1)):
+        log.append(stream, [Proposed("eventtype")] * n)
+    files = lambda events: len(events.df.inputFiles())
+    assert files(log.read_stream(a)) == 2 and files(log.read_stream(a, 2)) == 1 and files(log.read_stream(a, 2, direction=Direction.REVERSE)) == 1
+    assert files(log.read_all(5)) == 2 and [r.global_position for r in log.read_all(5)] == [6, 7, 8]
+    assert [r.stream_version for r in log.read_stream(a, 1)] == [2, 3, 4] and [r.stream_version for r in log.read_stream(b, 3, direction=Direction.REVERSE)] == [3, 2, 1]
+    assert "GreaterThan(global_position,5)" in log.read_all(5).df._jdf.queryExecution().executedPlan().toString()
+    log.delete(a, 1)
+    assert [r.stream_version for r in log.read_stream(a)] == [2, 3, 4] and len(list(log.read_all())) == 7

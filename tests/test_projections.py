@@ -131,5 +131,21 @@ def test_structured_streaming(spark, log, tmp_path):
     assert seen == [1, 2, 3, 4, 5, 6] and c.load(KEY).position == 6
 
 
+def test_streaming_restart_goes_on(spark, log, tmp_path):
+    """With a bound on what a task reads, in several partitions: nothing handled before the offset comes again."""
+    for n in (3, 4, 3):
+        fill(log, n)
+    c, seen = MemoryCheckpoints(), []
+
+    def handle(df):
+        seen.append(sorted(r.global_position for r in df.collect()))
+
+    for _ in range(3):
+        q = project(stream(spark, log.root, batch=4), handle, c, KEY, str(tmp_path / "offsets"), availableNow=True)
+        q.awaitTermination(120)
+        fill(log, 2)
+    assert [x for part in seen for x in part] == list(range(1, 15)) and c.load(KEY).position == 14
+
+
 def test_rebuild_labels():
     assert [rebuild.label(i) for i in (0, 6, 9)] == ["created", "retired", "unknown(9)"]
