@@ -246,7 +246,7 @@ BALANCE = "SELECT r.stream_id, r.stream_version AS version, r.balance FROM run r
 
 @query(BALANCE, LOG, RUNNING, LAST.format("ev"))
 def fold_balance(spark, d):
-    return fold.since_reset(user_log(spark, d), reset(), delta())
+    return fold.since_reset(user_log(spark, d, by="stream_id"), reset(), delta())
 
 
 @query(BALANCE, LOG, RUNNING, LAST.format("ev"))
@@ -258,17 +258,17 @@ def fold_balance_by_expression(spark, d):
         moved = F.when(kind == "signup", zero).when(kind == "purchase", acc + e["amount"]).when(kind == "error", acc - e["amount"]).otherwise(acc)
         return moved.cast("decimal(28,2)")
 
-    return fold.by_expression(user_log(spark, d), ["event_type", "amount"], zero, step).withColumnRenamed("state", "balance")
+    return fold.by_expression(user_log(spark, d, by="stream_id"), ["event_type", "amount"], zero, step).withColumnRenamed("state", "balance")
 
 
 @query("SELECT stream_id, event_type, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM ev GROUP BY ALL", LOG)
 def fold_counts_by_type(spark, d):
-    return user_log(spark, d).groupBy("stream_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+    return user_log(spark, d, by="stream_id").groupBy("stream_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
 
 
 @query(BALANCE, LOG, RUNNING, LAST.format("ev WHERE stream_version <= 25"))
 def hydrate_to_version(spark, d):
-    return fold.since_reset(user_log(spark, d), reset(), delta(), to_version=25)
+    return fold.since_reset(user_log(spark, d, by="stream_id"), reset(), delta(), to_version=25)
 
 
 @query(
@@ -291,7 +291,7 @@ def hydrate_batch_versions(spark, d):
 )
 def contiguity_check(spark, d):
     """Of a log with holes."""
-    return fold.contiguity(user_log(spark, d).where("k % 7 <> 3"))
+    return fold.contiguity(user_log(spark, d, by="stream_id").where("k % 7 <> 3"))
 
 
 FAILS = "event_type = 'error' AND k % 3 = 0"
@@ -304,12 +304,12 @@ FAILS = "event_type = 'error' AND k % 3 = 0"
     f"f AS (SELECT stream_id, min(stream_version) AS v FROM ev WHERE {FAILS} GROUP BY stream_id)",
 )
 def fold_fail_stop(spark, d):
-    return fold.until_failure(user_log(spark, d), F.expr(FAILS))
+    return fold.until_failure(user_log(spark, d, by="stream_id"), F.expr(FAILS))
 
 
 @query(f"SELECT stream_id, count(*) FILTER (NOT ({FAILS})) AS projected, count(*) FILTER ({FAILS}) AS failed FROM ev GROUP BY stream_id", LOG)
 def fold_continue(spark, d):
-    return fold.past_failures(user_log(spark, d), F.expr(FAILS))
+    return fold.past_failures(user_log(spark, d, by="stream_id"), F.expr(FAILS))
 
 
 @query(r"SELECT event_id, CASE WHEN json_valid(props) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, json_valid(props) AS valid FROM events")
@@ -354,7 +354,7 @@ SNAPS = f"snaps AS (SELECT stream_id, stream_version AS version, balance FROM ru
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
-    r = fold.running(user_log(spark, d), reset(), delta())
+    r = fold.running(user_log(spark, d, by="stream_id"), reset(), delta())
     return r.where(snapshots.every(N, F.col("stream_version"))).select("stream_id", F.col("stream_version").alias("version"), "balance")
 
 

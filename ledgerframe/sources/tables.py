@@ -18,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stream for each user, in the order of event ids; positions are ids from 1. One shuffle, by stream, which whatever
-    groups by stream afterwards shares."""
+def user_log(spark: SparkSession, sf_dir: str, by: str = "user_id") -> DataFrame:
+    """One stream for each user, in the order of event ids; positions are ids from 1. ``by`` is the column whose
+    shuffle numbers the versions: a condition on user_id reaches the scan past the first, a fold by stream_id shares that of the
+    second."""
     ev, uid = table(spark, sf_dir, "events"), ids.uuid_of(F.col("user_id"))
     ev = ev.select("user_id", uid.alias("stream_uuid"), ids.typed_id(F.lit("user"), uid).alias("stream_id"), "event_id", "event_type", "ts", "value", "props")
-    version = F.row_number().over(Window.partitionBy("stream_id").orderBy("event_id")).cast("long")
+    version = F.row_number().over(Window.partitionBy(by).orderBy("event_id")).cast("long")
     return ev.withColumn("stream_version", version).select(
         (F.col("event_id") + 1).alias("global_position"), F.lit("user").alias("stream_type"), "stream_uuid",
         "stream_id", "stream_version", "event_type", F.col("ts").alias("timestamp"),

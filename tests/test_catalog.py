@@ -23,3 +23,8 @@ def test_position_filter_reaches_the_scan(spark, data):
     assert "GreaterThan(event_id,500)" in plan
     plan = catalog.QUERIES["read_stream_after_count"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,7)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_folds_share_the_shuffle_that_numbers_versions(spark, data):
+    plan = catalog.QUERIES["fold_balance"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
