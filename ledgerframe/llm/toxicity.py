@@ -238,7 +238,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple
     for label in (0, 1):
         part = ids.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()  # 2 * most rows at most
+    # one text an id, however often documents repeat it: 2 * most rows at most
+    found = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.toxic) for r in sorted(found, key=lambda r: (r.doc_id, r.toxic, r.text))]
 
 
