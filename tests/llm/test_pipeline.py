@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import __spark_entry__
 import corpus_pipeline
 from ledgerframe.llm import stages
@@ -35,6 +38,19 @@ def test_empty_documents(spark, odd):
         assert docs.count() == 0
 
 
+def test_rules_store_no_texts(spark, make):
+    """What the rules leave in the shared folder stays while later stages run: counts, but no texts."""
+    stages.checkpoint(spark.range(0))
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    r = random.Random(1)
+    rows = [(k, " ".join(f"{r.getrandbits(64):x}" for _ in range(2_000))) for k in range(20)]
+    before = size()
+    kept = stages.quality_rules(spark, make(*rows, (20, "too short")), "")
+    assert kept.where("doc_id = 20").count() == 0
+    assert size() - before < sum(len(t) for _, t in rows) / 10
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
